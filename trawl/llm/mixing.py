@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     """docs' ids with size, source_size, target, copies and taken; one row a row of docs, with the carried columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")).alias("u")
-    sized = docs.select("doc_id", "source", size.alias("size"), u, *[F.col(c) for c in carry])
+    sized = docs.select("doc_id", "source", size.alias("size"), u, *[F.col(c) for c in carry if c != "source"])
     sized = written(sized)
     targets = written(source_targets(sized, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
                       .withColumn("left", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
