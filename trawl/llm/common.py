@@ -38,3 +38,9 @@ def written(df: DataFrame) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """df, in a session that hands whole texts to Python in batches of few rows, so that workers stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import held_out, table
+from trawl.llm.common import held_out, small_batches, table
 
 PLACES = 4096
 CENTROIDS = 4
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(x) for x in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.select(*carry, guess("text").alias("x")).select(*carry, "x.*")
+    return small_batches(docs).select(*carry, guess("text").alias("x")).select(*carry, "x.*")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,7 +173,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series([not model.predict(x)[2] for x in texts], dtype=bool)
 
-    return docs.where(kept("text")).select(*carry)
+    return small_batches(docs).where(kept("text")).select(*carry)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table, written
+from trawl.llm.common import small_batches, table, written
 
 WORDS = 5
 BIN_BITS, ROWS, BANDS = 7, 5, 25
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if full else None, band_keys(signature(hashes)) if full else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def few(df: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ class Kind:
 
     def fits(self, match: Column) -> Column:
         digits = F.regexp_replace(match, "[^0-9]", "")
-        return {"email": F.lit(True), "ip": match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), "card": F.luhn_check(digits),
+        return {"email": F.lit(True), "ip": match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), "card": F.call_function("luhn_check", digits),
                 "phone": F.length(digits).between(8, 15)}[self.name]
 
     def entity(self, match: Column) -> Column:
@@ -68,16 +68,20 @@ def entities(text: Column, kind: Kind, around: int = 0) -> Column:
     return F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(F.filter(F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>"), lambda x: F.lit(False))) if kind.hint else found
 
 
+def near_terms(kind: Kind, x: Column) -> Column:
+    """(entity, term) of a match with its sides, and (entity, null)."""
+    clean = lambda side: F.regexp_replace(F.lower(side), r"[^\s]*[@0-9][^\s]*", " ")
+    terms = F.concat(F.regexp_extract_all(clean(x["left"]), F.lit(r"(?<=[^\p{L}])" + TERM), F.lit(0)), F.regexp_extract_all(clean(x["right"]), F.lit(TERM + r"(?=[^\p{L}])"), F.lit(0)), F.array(F.lit(None).cast("string")))
+    entity = kind.entity(x["match"])
+    return F.transform(terms, lambda t: F.struct(entity.alias("entity"), t.alias("term")))
+
+
 def contexts(text: Column) -> Column:
     """The text's distinct (entity, term), with a null term once for each entity."""
-    out = []
-    for kind in KINDS:
-        def pairs(x: Column, kind: Kind = kind) -> Column:
-            clean = lambda side: F.regexp_replace(F.lower(side), r"[^\s]*[@0-9][^\s]*", " ")
-            terms = F.concat(F.regexp_extract_all(clean(x["left"]), F.lit(r"(?<=[^\p{L}])" + TERM), F.lit(0)), F.regexp_extract_all(clean(x["right"]), F.lit(TERM + r"(?=[^\p{L}])"), F.lit(0)), F.array(F.lit(None).cast("string")))
-            return F.transform(terms, lambda t: F.struct(kind.entity(x["match"]).alias("entity"), t.alias("term")))
-        out.append(F.flatten(F.transform(entities(text, kind, WINDOW), pairs)))
-    return F.array_distinct(F.concat(*out))
+    def of(kind: Kind) -> Column:
+        return F.flatten(F.transform(entities(text, kind, WINDOW), lambda x: near_terms(kind, x)))
+
+    return F.array_distinct(F.concat(*map(of, KINDS)))
 
 
 def terms_of(text: Column) -> Column:

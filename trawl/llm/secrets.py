@@ -177,13 +177,14 @@ def found(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         if chosen.count() <= BROADCAST_ROWS:
             chosen = F.broadcast(chosen)
         joined = docs.withColumn("_text_key", F.xxhash64(text)).join(chosen.select(F.col("text_key").alias("_text_key"), F.col("rules").alias("_rules")), "_text_key", "left")
-    parts = []
-    for i, rule in enumerate(rules):
-        spans = F.filter(matches(text, rule.pattern), lambda x, rule=rule: rule.fits(x["match"]))
+
+    def spans(i: int, rule: Rule) -> Column:
+        out = F.filter(matches(text, rule.pattern), lambda x: rule.fits(x["match"]))
         if i in queries:
-            spans = F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(1 << i) != 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
-        parts.append(F.transform(named(spans, rule.name, i), lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*parts)))
+            out = F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(1 << i) != 0, out).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return F.transform(named(out, rule.name, i), lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    return joined.withColumn("_spans", F.array_sort(F.concat(*[spans(i, r) for i, r in enumerate(rules)])))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def matches(text: Column, pattern: str | Column, *, around: int = 0) -> Column:
     placed = F.aggregate(rows, zero, lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["size"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right")))).alias("out")))["out"]
-    return F.when(text.rlike(regex) if isinstance(pattern, str) else F.regexp_like(text, regex), placed).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.rlike(text, regex), placed).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def named(spans: Column, kind: str, order: int) -> Column:
