@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import small_batches, table
 
 LEAST, USUAL, MOST = 24, 64, 256
 HARD, EASY = 7, 4  # zero bits asked for below and above the usual size
@@ -92,7 +92,7 @@ def edited(text: str, following: str) -> str:
 
 def followed(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
     """(doc_id, text, range, ahead), dealt so that a task has whole ranges of ids, sorted, each closed by a row of the next range (ahead)."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-sys.maxsize - 1)).cast("long").alias("id_key"))
+    keyed = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-sys.maxsize - 1)).cast("long").alias("id_key"))
     n = keyed.count()
     ranges = max(1, min(MOST_RANGES, n // per_range))
     ends = np.empty(0, np.int64)
@@ -112,7 +112,7 @@ def followed(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
         return pd.Series([[int(r), int(before[i])] if i in before else [int(r)] for r, i in zip(range_of(ids), ids.tolist())])
 
     dealt = keyed.select("doc_id", "id_key", "text", F.posexplode(F.pandas_udf(places, "array<long>")("id_key")).alias("ahead", "range"))
-    return dealt.repartition(max(1, ranges // 4), "range").sortWithinPartitions("range", "ahead", "id_key", "text").select("doc_id", "text", "range", "ahead")
+    return dealt.repartition(max(1, ranges // 2), "range").sortWithinPartitions("range", "ahead", "id_key", "text").select("doc_id", "text", "range", "ahead")
 
 
 def fingerprints(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
