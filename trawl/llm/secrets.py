@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.common import table, written
-from trawl.llm.spans import SPAN, listed, matches, named
+from trawl.llm.spans import listed, matches
 
 #: Rows up to which the candidates are broadcast to the scan of the texts; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -42,10 +42,16 @@ class Rule:
     least: int = 0
     of: int = 0
 
-    def fits(self, match: Column) -> Column:
-        if not self.least:
-            return F.lit(True)
-        return F.length(F.regexp_extract(match, self.pattern, self.of) if self.of else match) >= self.least
+    def column(self, order: int) -> Column:
+        """The rule as a value, so that one expression serves all rules."""
+        return F.struct(F.lit(order).alias("order"), F.lit(self.name).alias("kind"), F.lit(self.pattern).alias("pattern"), F.lit(self.least).alias("least"), F.lit(self.of).alias("of"), F.lit(1 << order).cast("long").alias("bit"))
+
+
+def spans_of(text: Column, rule: Column) -> Column:
+    """(start, order, kind, end) of a rule's matches that are long enough."""
+    part = lambda x: F.call_function("regexp_extract", x["match"], rule["pattern"], rule["of"])
+    long = F.filter(matches(text, rule["pattern"]), lambda x: (rule["least"] == 0) | (F.length(part(x)) >= rule["least"]))
+    return F.transform(long, lambda x: F.struct(x["start"].alias("start"), rule["order"].alias("order"), rule["kind"].alias("kind"), x["end"].alias("end")))
 
 
 BASE = (
@@ -148,8 +154,13 @@ def trigram_query(pattern: str) -> Query:
 
 def index(docs: DataFrame, trigrams: Iterable[str]) -> DataFrame:
     """Postings (trigram, text_key) of the trigrams."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
+    by_first: dict[str, list[str]] = {}
+    for t in sorted(trigrams):
+        by_first.setdefault(t[0], []).append(t[1:])
+    quoted = lambda x: r"\Q" + x + r"\E"
+    # one pass: at each place, the trigram that begins there, if it is one of them
+    ahead = "(?=(" + "|".join(quoted(a) + "(?:" + "|".join(map(quoted, rest)) + ")" for a, rest in by_first.items()) + "))"
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ahead), F.lit(1)))
     return docs.where("text is not null").select(F.explode(held).alias("trigram"), F.xxhash64("text").alias("text_key"))
 
 
@@ -177,21 +188,23 @@ def found(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         if chosen.count() <= BROADCAST_ROWS:
             chosen = F.broadcast(chosen)
         joined = docs.withColumn("_text_key", F.xxhash64(text)).join(chosen.select(F.col("text_key").alias("_text_key"), F.col("rules").alias("_rules")), "_text_key", "left")
-
-    def spans(i: int, rule: Rule) -> Column:
-        out = F.filter(matches(text, rule.pattern), lambda x: rule.fits(x["match"]))
-        if i in queries:
-            out = F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(1 << i) != 0, out).otherwise(F.array().cast(f"array<{SPAN}>"))
-        return F.transform(named(out, rule.name, i), lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end")))
-
-    return joined.withColumn("_spans", F.array_sort(F.concat(*[spans(i, r) for i, r in enumerate(rules)])))
+    always = [F.transform(F.array(r.column(i)), lambda rule: spans_of(text, rule))[0] for i, r in enumerate(rules) if i not in queries]
+    asked = F.array(*[r.column(i) for i, r in enumerate(rules) if i in queries]) if queries else None
+    if asked is not None:
+        mask = F.coalesce(F.col("_rules"), F.lit(0))
+        always.append(F.flatten(F.transform(F.filter(asked, lambda rule: mask.bitwiseAND(rule["bit"]) != 0), lambda rule: spans_of(text, rule))))
+    return joined.withColumn("_spans", F.array_sort(F.concat(*always)))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda kind: F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
-    base = listed(F.filter("_spans", lambda x: x["order"] < len(BASE)))
-    return rows.select("doc_id", *[count(r.name).alias(f"n_{r.name}") for r in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+
+    def digest(spans: Column) -> Column:
+        count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+        base = listed(F.filter(spans, lambda x: x["order"] < len(BASE)))
+        return F.struct(*[count(r.name).alias(f"n_{r.name}") for r in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+    return rows.select("doc_id", F.inline(F.transform(F.array("_spans"), digest)))  # spans are made once
 
 
 def _sql_rule(order: int, rule: Rule) -> str:
