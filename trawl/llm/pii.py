@@ -77,11 +77,15 @@ def near_terms(kind: Kind, x: Column) -> Column:
 
 
 def contexts(text: Column) -> Column:
-    """The text's distinct (entity, term), with a null term once for each entity."""
+    """The text's distinct (entity, term), with a null term for each entity and a null entity for each term."""
     def of(kind: Kind) -> Column:
         return F.flatten(F.transform(entities(text, kind, WINDOW), lambda x: near_terms(kind, x)))
 
-    return F.array_distinct(F.concat(*map(of, KINDS)))
+    def with_terms(pairs: Column) -> Column:
+        alone = F.transform(F.filter(pairs, lambda x: x["term"].isNotNull()), lambda x: F.struct(F.lit(None).cast("string").alias("entity"), x["term"].alias("term")))
+        return F.array_distinct(F.concat(pairs, alone))
+
+    return F.transform(F.array(F.concat(*map(of, KINDS))), with_terms)[0]  # the pairs are made once
 
 
 def terms_of(text: Column) -> Column:
@@ -92,17 +96,25 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def disclosed(df: Column, both: Column, held: Column, n: int) -> Column:
+    """PMI over information content, of counts among n documents."""
+    return 1 - F.log(df / both) / F.log(F.lit(float(n)) / held)
+
+
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(term, kind, disclosure) of the terms at or above the threshold: a written table."""
     texts = docs.where("text is not null").select("text")
     n = docs.count()
     seen = texts.where(F.col("text").rlike("[0-9@]")).select(F.explode(contexts(F.col("text"))).alias("x")).select("x.entity", "x.term")
     counted = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    held = counted.where("term is null").select("entity", F.col("both").alias("held")).where(2 * F.col("held") <= n)
-    pairs = written(counted.where("term is not null").join(held, "entity"))
+    held = counted.where("entity is not null and term is null").select("entity", F.col("both").alias("held")).where(2 * F.col("held") <= n)
+    # a term stands in at least as many texts as beside entities: what that rules out needs no count in the corpus
+    near = counted.where("entity is null").select("term", F.col("both").alias("near"))
+    pairs = counted.where("entity is not null and term is not null").join(held, "entity").join(near, "term")
+    pairs = written(pairs.where(disclosed(F.col("near"), F.col("both"), F.col("held"), n) >= generalise).drop("near"))
     wanted = few(written(pairs.select("term").distinct()))
     df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    disclosure = 1 - F.log(F.col("df") / F.col("both")) / F.log(F.lit(float(n)) / F.col("held"))
+    disclosure = disclosed(F.col("df"), F.col("both"), F.col("held"), n)
     told = pairs.join(df, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
     best = F.min(F.struct((-F.col("disclosure")).alias("less"), "kind"))
     return written(told.groupBy("term").agg(best.alias("x")).select("term", F.col("x.kind").alias("kind"), (-F.col("x.less")).alias("disclosure")))
@@ -142,7 +154,11 @@ def sanitised(docs: DataFrame, disclosing: DataFrame | None = None) -> DataFrame
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = found(docs, disclosing_terms(docs))
-    count = lambda kind: F.size(F.filter("_entities", lambda x: x["kind"] == kind)).cast("long")
-    base, terms = listed(F.col("_entities")), listed(F.col("_terms"))
-    return rows.select("doc_id", *[count(k.name).alias(f"n_{k.name}") for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
-                       F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"))
+
+    def digest(x: Column) -> Column:
+        count = lambda kind: F.size(F.filter(x["entities"], lambda e: e["kind"] == kind)).cast("long")
+        base, terms = listed(x["entities"]), listed(x["terms"])
+        return F.struct(*[count(k.name).alias(f"n_{k.name}") for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                        F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"))
+
+    return rows.select("doc_id", F.inline(F.transform(F.array(F.struct(F.col("_entities").alias("entities"), F.col("_terms").alias("terms"))), digest)))  # spans are made once
