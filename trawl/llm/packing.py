@@ -15,6 +15,8 @@ between equal lengths go by id and start; an empty table gives an empty result;
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,45 +25,67 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import small_batches, table
 
 CAPACITY = 4096
 END_ID = 2
 #: Documents in a bucket, on average.
 BUCKET = 8192
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in each worker.
-CACHED_WORDS = 200_000
-LONG_WORD = 64
+#: Pieces in a generation of those that a worker keeps with their ids, and the longest of them.
+KEPT_PIECES, LONG_PIECE = 300_000, 64
+#: Texts whose lower case is each letter's own, in which nothing composes and white space is plain.
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\xa1-\u012f\u2010-\u2027]*")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: What the tokenizer takes for a word, in a plain text in lower case.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: How a byte-level vocabulary writes the bytes that aren't visible characters.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+
+
+class Pieces(dict):
+    """{piece: its ids}, filled as pieces are looked up, in two generations.
+
+    When the young one is full it becomes the old one, from which pieces in use come back.
+    """
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.old = tokenize, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        x = self.old.get(piece)
+        if x is None:
+            ids = [t.id for t in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))]
+            x = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= KEPT_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = x
+        return x
 
 
 class WordTokenizer:
-    """ids of texts for a tokenizer that drops white space and never joins over it: words are encoded once and kept."""
+    """ids of texts for a tokenizer that lowers case, splits by PIECE, drops white space and never joins over pieces.
+
+    Plain texts are split here, and their pieces looked up; texts beyond Latin letters, or with what may be a special
+    token, are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
+        self.pieces = Pieces(self.model.model.tokenize)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known = self.known = {"": b""}
-        new = list({w for w in words if w not in known})
-        here = dict(zip(new, self._encode(new)))
-        known.update((w, x) for w, x in here.items() if len(w) <= LONG_WORD)
-        return b"".join([known[w] if w in known else here[w] for w in words])
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -173,7 +197,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     path: of the tokenizer's file, at the same place on every executor. Its ids must be below 65536.
     """
     buckets = max(1, -(-docs.count() // bucket))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"))
+    dealt = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
