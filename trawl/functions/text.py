@@ -6,6 +6,7 @@ building vectors takes no shuffle. Tokens are strings, with a prefix of one `#`
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ STOPWORD_LANGUAGES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once a row, however often body's own lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 @lru_cache(maxsize=None)
 def stopwords(language: str) -> tuple[str, ...]:
     """The stopwords of a language; none for one without a list."""
@@ -50,11 +56,13 @@ def whitespace_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return without_stopwords(F.split(preprocessed(text), " "), stop)
 
 
-def grams(text: Column, pad: int, n: int = 3) -> Column:
-    """Character n-grams of a text with `pad` spaces on each side; none of an empty text."""
-    padded = F.concat(F.lit(" " * pad), text, F.lit(" " * pad))
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.when(text != "", F.filter(made, lambda g: F.length(g) == n)).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, pad: int) -> Column:
+    """Character trigrams of a text with `pad` spaces on each side; none of an empty text."""
+    def cut(chars: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0))), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+        return F.filter(made, lambda g: F.size(chars) > 2 * pad)
+
+    return let(F.split(F.concat(F.lit(" " * pad), text, F.lit(" " * pad)), "", -1), cut)  # by characters, each found at once
 
 
 def trigram_tokens(text: Column) -> Column:
@@ -69,12 +77,12 @@ def word_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def counted(tokens: Column) -> Column:
     """array<struct<token, tf>> of an array of tokens, by token."""
-    ordered = F.array_sort(tokens)
-    n = F.size(ordered)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1))))))
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    return F.transform(F.arrays_zip(starts.alias("a"), F.slice(ends, F.lit(1), F.size(starts)).alias("b")),
-                       lambda x: F.struct(F.element_at(ordered, x["a"]).alias("token"), (x["b"] - x["a"]).alias("tf")))
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))))
+        return let(first, lambda starts: F.transform(starts, lambda a, k: F.struct(F.get(ordered, a - 1).alias("token"), (F.coalesce(F.get(starts, k + 1), n + 1) - a).alias("tf"))))
+
+    return let(F.array_sort(tokens), runs)
 
 
 def saturated(tf: Column, length: Column, avgdl: Column | float, base: Column | float = 1.0) -> Column:
@@ -92,9 +100,11 @@ def heaviest(weighted: Column, k: int) -> Column:
 
 def sparse_vector(tokens: Column, avgdl: Column | float, top_k: int, prefix: str = "") -> Column:
     """array<struct<token, weight>>: saturated term frequencies, pruned."""
-    n = F.size(tokens)
-    weighted = F.transform(counted(tokens), lambda x: F.struct(F.concat(F.lit(prefix), x["token"]).alias("token"), saturated(x["tf"], n, avgdl).alias("weight")))
-    return heaviest(weighted, top_k)
+    def weighted(made: Column) -> Column:
+        n = F.size(made)
+        return F.transform(counted(made), lambda x: F.struct(F.concat(F.lit(prefix), x["token"]).alias("token"), saturated(x["tf"], n, avgdl).alias("weight")))
+
+    return heaviest(let(tokens, weighted), top_k)
 
 
 def pruned_length(tokens: Column, top_k: int) -> Column:
@@ -108,26 +118,34 @@ def multilevel_vector(text: Column, stemmed: Column, avgdl: Column | float, top_
     text: preprocessed. stemmed: the stemmed words of the text. Words as written count only where no stem equals them;
     word channels get a boost by the share that a word has of the text's length.
     """
-    words = without_stopwords(F.split(text, " "), stop)
-    rest = F.filter(words, lambda t: ~F.array_contains(stemmed, t))
-    tri = grams(F.array_join(words, " "), 1)
-    tri = F.when(text != "", F.when(F.size(words) > 0, tri).otherwise(F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    n, chars = F.size(stemmed), F.length(text).cast("double")
-    most = F.lit(LENGTH_BOOST) * F.least(F.lit(1.0), 1 / F.greatest(F.lit(1.0), F.log10(chars)))
-
-    def channel(tokens: Column, prefix: str, base: Column | float, boosted: bool) -> Column:
-        def weigh(x: Column) -> Column:
-            weight = saturated(x["tf"], n, avgdl, base)
-            size = F.octet_length(x["token"])
-            if boosted:
-                weight = weight + F.when(size >= 3, size.cast("double") / chars * most).otherwise(F.lit(0.0))
-            return F.struct(F.concat(F.lit(prefix), x["token"]).alias("token"), weight.alias("weight"))
-        return F.transform(counted(tokens), weigh)
-
-    word_k = top_k * word_ratio // 100
-    parts = F.concat(heaviest(F.concat(channel(rest, "#", WORD_WEIGHT, True), channel(stemmed, "##", STEM_WEIGHT, True)), word_k),
-                     heaviest(channel(tri, "###", trigram_weight, False), top_k - word_k))
-    return F.when(text != "", parts).otherwise(F.array().cast("array<struct<token:string,weight:double>>"))
+    def vector(x: Column) -> Column:
+        stems, words = x["stems"], x["words"]
+        both = F.concat(F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(0).alias("stem"))), F.transform(stems, lambda t: F.struct(t.alias("t"), F.lit(1).alias("stem"))))
+        plain_of = lambda x: F.struct(x["token"]["t"].alias("token"), x["tf"].alias("tf"))
+        # sorted by token, a word stands right before the equal stem
+        runs = F.struct(counted(both).alias("all"))
+        apart = let(runs, lambda r: F.struct(
+            F.transform(F.filter(r["all"], lambda x, i: (x["token"]["stem"] == 0) & ~F.coalesce(F.get(r["all"], i + 1)["token"]["t"] == x["token"]["t"], F.lit(False))), plain_of).alias("rest"),
+            F.transform(F.filter(r["all"], lambda x: x["token"]["stem"] == 1), plain_of).alias("stems")))
+        tri = F.filter(grams(F.array_join(words, " "), 1), lambda g: F.size(words) > 0)
+        n, chars = x["n"], x["chars"]
+        most = F.lit(LENGTH_BOOST) * F.least(F.lit(1.0), 1 / F.greatest(F.lit(1.0), F.log10(chars)))
+
+        def channel(runs: Column, prefix: str, base: Column | float, boosted: bool) -> Column:
+            def weigh(x: Column) -> Column:
+                weight = saturated(x["tf"], n, avgdl, base)
+                size = F.octet_length(x["token"])
+                if boosted:
+                    weight = weight + F.when(size >= 3, size.cast("double") / chars * most).otherwise(F.lit(0.0))
+                return F.struct(F.concat(F.lit(prefix), x["token"]).alias("token"), weight.alias("weight"))
+            return F.transform(runs, weigh)
+
+        word_k = top_k * word_ratio // 100
+        return F.concat(heaviest(let(apart, lambda x: F.concat(channel(x["rest"], "#", WORD_WEIGHT, True), channel(x["stems"], "##", STEM_WEIGHT, True))), word_k),
+                        heaviest(channel(counted(tri), "###", trigram_weight, False), top_k - word_k))
+
+    made = F.struct(F.length(text).cast("double").alias("chars"), F.size(stemmed).alias("n"), stemmed.alias("stems"), without_stopwords(F.split(text, " "), stop).alias("words"))
+    return F.when(text != "", let(made, vector)).otherwise(F.array().cast("array<struct<token:string,weight:double>>"))
 
 
 def idf(n_docs: Column, n_with: Column) -> Column:

@@ -183,7 +183,10 @@ def validate(tree, types: Mapping[str, str]) -> None:
 
 
 def compiled(tree, types: Mapping[str, str], column: Callable[[str], Column] | None = None) -> Column:
-    """The filter as a column that is never null. column: the typed column of a key (default: meta_<key>)."""
+    """The filter as a column that is never null. column: the typed column of a key (default: meta_<key>).
+
+    Moments are compared in UTC, without a zone (TIMESTAMP_NTZ), so the session's zone doesn't matter.
+    """
     column = column or (lambda key: F.col(f"meta_{key}"))
     if isinstance(tree, Test):
         kind, c = _typed(tree, types), column(tree.key)
@@ -191,7 +194,7 @@ def compiled(tree, types: Mapping[str, str], column: Callable[[str], Column] | N
             return c.isNull()
         if kind == "datetime":
             value = F.lit(as_instant(tree.value).strftime("%Y-%m-%d %H:%M:%S.%f"))
-            value = F.to_timestamp(F.concat(value, F.lit("+00:00")))
+            value = F.to_timestamp_ntz(value)
         elif kind == "integer":
             value = F.lit(int(tree.value)).cast("bigint")
         else:

@@ -21,11 +21,6 @@ DIGITS = 6
 QUERY_ROWS = 500_000
 
 
-def query_side(rows: DataFrame) -> DataFrame:
-    """A batch of queries for a broadcast if it is small; otherwise the join is left to shuffle."""
-    return F.broadcast(rows) if rows.count() <= QUERY_ROWS else rows
-
-
 def postings(docs: DataFrame, vector: Column, id_col: str = "id") -> DataFrame:
     """(token, id, weight) of a collection's sparse vectors."""
     return docs.select(F.col(id_col).alias("id"), F.explode(vector).alias("x")).select("x.token", "id", "x.weight")
@@ -35,26 +30,28 @@ def token_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count("*").alias("n_with"))
 
 
-def sparse_scores(posted: DataFrame, queries: DataFrame, n_docs: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def sparse_scores(posted: DataFrame, queries: DataFrame, n_docs: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): the products of shared tokens' weights.
 
-    queries: (query_id, token, weight). n_docs: one row, n_docs, which turns inverse document frequencies on; they are
-    of the whole collection, whatever is allowed. allowed: ids that a filter lets through.
+    queries: (query_id, token, weight). n_docs: the collection's size, which turns inverse document frequencies on;
+    they are of the whole collection, whatever is allowed. allowed: ids that a filter lets through.
     """
-    wanted = query_side(queries)
-    met = posted.join(F.broadcast(wanted.select("token").distinct()) if wanted.count() <= QUERY_ROWS else wanted.select("token").distinct(), "token", "left_semi")
+    small = queries.count() <= QUERY_ROWS
+    side = lambda x: F.broadcast(x) if small else x
+    met = posted.join(side(queries.select("token").distinct()), "token", "left_semi")
     if n_docs is not None:
-        rare = token_statistics(met).crossJoin(F.broadcast(n_docs)).select("token", text.idf(F.col("n_docs"), F.col("n_with")).alias("idf"))
+        rare = token_statistics(met).select("token", text.idf(F.lit(n_docs), F.col("n_with")).alias("idf"))
         queries = queries.join(rare, "token").select("query_id", "token", (F.col("weight") * F.col("idf")).alias("weight"))
     if allowed is not None:
         met = met.join(allowed.select("id"), "id", "left_semi")
-    joined = met.join(query_side(queries).withColumnRenamed("weight", "query_weight"), "token")
+    joined = met.join(side(queries).withColumnRenamed("weight", "query_weight"), "token")
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), DIGITS).alias("score"))
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
     """(query_id, id, score) of every query of a stated batch against every vector (id, embedding)."""
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query_embedding"))), F.lit(True))
+    side = queries.select("query_id", F.col("embedding").alias("query_embedding"))
+    pairs = vectors.join(F.broadcast(side) if side.count() <= QUERY_ROWS // 100 else side, F.lit(True))
     score = F.round(dense.similarity(F.col("embedding"), F.col("query_embedding"), distance), DIGITS)
     return pairs.select("query_id", "id", score.alias("score")).where("score is not null")
 
