@@ -28,4 +28,4 @@ def similarity(a: Column, b: Column, distance: str) -> Column:
         lengths = norm(a) * norm(b)
         return F.when(lengths > 0, dot(a, b) / lengths)
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return -F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    return F.lit(0.0) - F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))

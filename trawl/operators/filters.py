@@ -24,7 +24,7 @@ TOKEN = re.compile(r"""\s*(?:
 
 
 @dataclass(frozen=True)
-class Test:
+class Comparison:
     key: str
     op: str
     value: object = None
@@ -104,11 +104,11 @@ class _Parser:
             negated = self.word("NOT")
             if not self.word("NULL"):
                 raise FilterError("expected NULL after IS")
-            return Node(no=Test(key, "is_null")) if negated else Test(key, "is_null")
+            return Node(no=Comparison(key, "is_null")) if negated else Comparison(key, "is_null")
         kind, op = self.take()
         if kind != "op":
             raise FilterError(f"expected a comparison after {key!r}")
-        return Test(key, OPS[op], self.value())
+        return Comparison(key, OPS[op], self.value())
 
     def value(self):
         kind, text = self.take()
@@ -133,7 +133,7 @@ def from_tree(tree: Mapping):
     if tree.get("key") is not None:
         if tree.get("op") not in (*OPS.values(), "is_null"):
             raise FilterError(f"unknown operator {tree.get('op')!r}")
-        parts.append(Test(tree["key"], tree["op"], tree.get("value")))
+        parts.append(Comparison(tree["key"], tree["op"], tree.get("value")))
     parts += [from_tree(x) for x in tree.get("and") or ()]
     some = tuple(from_tree(x) for x in tree.get("or") or ())
     no = from_tree(tree["not"]) if tree.get("not") else None
@@ -156,7 +156,7 @@ def as_instant(text: str) -> datetime:
     return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
 
 
-def _typed(test: Test, types: Mapping[str, str]) -> str:
+def _typed(test: Comparison, types: Mapping[str, str]) -> str:
     """The declared type, or an error if the test doesn't fit it."""
     if test.key not in types:
         raise FilterError(f"metadata key {test.key!r} isn't indexed")
@@ -175,7 +175,7 @@ def _typed(test: Test, types: Mapping[str, str]) -> str:
 
 
 def validate(tree, types: Mapping[str, str]) -> None:
-    if isinstance(tree, Test):
+    if isinstance(tree, Comparison):
         _typed(tree, types)
         return
     for x in (*tree.all, *tree.any, *((tree.no,) if tree.no is not None else ())):
@@ -188,7 +188,7 @@ def compiled(tree, types: Mapping[str, str], column: Callable[[str], Column] | N
     Moments are compared in UTC, without a zone (TIMESTAMP_NTZ), so the session's zone doesn't matter.
     """
     column = column or (lambda key: F.col(f"meta_{key}"))
-    if isinstance(tree, Test):
+    if isinstance(tree, Comparison):
         kind, c = _typed(tree, types), column(tree.key)
         if tree.op == "is_null":
             return c.isNull()
