@@ -2,8 +2,8 @@
 
 A text becomes a vector of its letter n-grams (one to three characters, words marked by a space, lower case), hashed to
 a fixed number of places, weighted by TF-IDF and normalised. Each language's training vectors are clustered by
-spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine. A text
-further from every centroid than REJECT times the distance that training texts keep to theirs is rejected.
+spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine. It is
+rejected if that cosine is below NEAR times the least one that a training text of the language has.
 
 The model is fitted on a sample of at most about SAMPLE rows, dealt evenly over the languages and chosen by a hash of
 the id; `fit` returns it as plain arrays, whose size doesn't depend on the table. The language counts that the sample
@@ -29,7 +29,7 @@ from trawl.llm.common import held_out, small_batches, table
 PLACES = 4096
 CENTROIDS = 4
 SAMPLE = 3000
-REJECT = 3.0
+NEAR = 0.4
 BLOCK = 1 << 20
 UND = "und"
 
@@ -94,7 +94,7 @@ class Model:
         cosines = self.centroids @ weighted(counts, self.idf).astype(np.float32)
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, bool((cosines < self.least).all())
+        return self.languages[best], score, bool(cosines[best] < self.least[best])
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +121,9 @@ def fit_vectors(languages: list[str], counts: np.ndarray, per_language: int = CE
         rows = v[[x == language for x in languages]]
         c, near = cluster(rows, max(1, min(per_language, len(rows) // 8)))
         for i in range(len(c)):
-            own = near[near[:, 1] == i, 0]
             names.append(language)
             centroids.append(c[i])
-            least.append(1 - REJECT * (1 - (np.quantile(own, 0.05) if len(own) else 1.0)))
+            least.append(NEAR * near[:, 0].min())
     return Model(tuple(names), np.array(centroids, np.float32).reshape(-1, PLACES), np.array(least), idf)
 
 
