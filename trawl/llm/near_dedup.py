@@ -8,9 +8,12 @@ pair shares no key with probability 4e-7.
 Equal sets are one class, of which only the document with the smallest id goes on. In each bucket the members are
 ordered by how many others they meet in all their buckets, so that an original comes before its copies, and the first
 is the bucket's hub: only pairs of a member with the hub are candidates, at most one a bucket row. Links are confirmed
-on full sets. Where a bucket still spans several groups, its next hubs are tried as well, so buckets of at most
-HUBS + 1 classes are searched fully, and larger ones by HUBS stars in each of the buckets a pair shares. Groups are
-the connected components, by alternating large and small stars with a written table each round.
+on full sets, and the groups are the connected components, by alternating large and small stars with a written table
+each round. A bucket whose members aren't all in one group then goes on with its next hubs, in rounds of more and more,
+against the members of other groups, until the rest of it is in one group or all its pairs have been tried. For these
+rounds the shingles are counted that a document shares with any other that is left: a pair has no more in common, so
+what can't be linked by this bound isn't tried. So every pair that shares a bucket is tried, connected or ruled out, and
+a group of copies costs a star, not all its pairs.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; repeated rows, and
 all rows that share an id, are one document; a null id is linked with nothing, has a null component and is kept; an
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import small_batches, table, written
@@ -32,7 +35,8 @@ from trawl.llm.common import small_batches, table, written
 WORDS = 5
 BIN_BITS, ROWS, BANDS = 7, 5, 25
 BINS = 1 << BIN_BITS
-HUBS = 4
+#: Hubs of a bucket in the second round; each later round takes twice as many.
+MORE_HUBS = 3
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Rows up to which a side keyed by id is broadcast to the scan of the texts; beyond, both sides are shuffled.
@@ -163,6 +167,59 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def in_several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that aren't in one component."""
+    rows = written(rows)
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return written(rows.join(several, "key"))
+
+
+def shared(texts: DataFrame) -> DataFrame:
+    """(id, shared): how many of its shingles another of the texts has too, at least."""
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                found = shingles(text).view(np.int64)
+                yield pd.DataFrame({"id": np.full(len(found), doc_id, np.int64), "item": found})
+
+    held = written(texts.mapInPandas(items, "id long, item long"))
+    common = held.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("item")
+    return written(held.join(common, "item").groupBy("id").agg(F.count("*").alias("shared")))
+
+
+def spread_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the ids that are linked with others. members: the bucket rows (key, id, n, place), written."""
+    most = F.least("n", "hub.n", "shared", "hub_shared")  # that a pair can have in common
+    alike = 100 * most >= percent * (F.col("n") + F.col("hub.n") - most)
+    open_rows, count, texts = members.withColumns({"component": F.col("id"), "shared": F.col("n")}), 1, docs
+    groups = tried = None
+    while True:
+        # only a bucket's first few go through the shuffle from each task
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("place")))
+        hubs = written(open_rows.select("key", F.col("place").alias("hub"), F.col("component").alias("hub_component"), F.col("shared").alias("hub_shared"), place.alias("k")).where(F.col("k") <= count).drop("k"))
+        pairs = open_rows.join(hubs, "key").where((F.col("place") < F.col("hub")) & (F.col("component") != F.col("hub_component")) & alike)
+        pairs = pairs.select("id", (-F.col("hub.order")).alias("hub")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["id", "hub"], "left_anti"))
+        links = written(confirmed(texts, pairs, percent).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        tried = pairs if tried is None else tried.union(pairs)
+        if groups is None:
+            groups = written(components(links))
+        elif not links.isEmpty():
+            groups = written(components(links.union(groups.where("id <> component").select("id", "component"))))
+        last = hubs.groupBy("key").agg(F.min("hub").alias("last"))
+        left = open_rows.drop("component").join(last, "key").where(F.col("place") < F.col("last")).drop("last")
+        left = in_several(left.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        if tried is pairs and not left.isEmpty():  # later rounds read the texts of what is left only
+            ids = few(written(left.select(F.col("id").alias("doc_id")).distinct()))
+            texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+            left = left.drop("shared").join(few(shared(texts)), "id").where(100 * F.col("shared") >= percent * F.col("n"))
+            left = in_several(left)
+        if left.isEmpty():
+            return groups
+        open_rows, count = left, max(MORE_HUBS, 2 * count)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs))
@@ -175,29 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = written(firsts.join(sizes, "key"))
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     members = written(members.join(degree, "id").select("key", "id", "n", F.struct("degree", (-F.col("id")).alias("order"), "n").alias("place")))
-    hubs, before = [], None
-    for _ in range(HUBS):
-        rows = members if before is None else members.join(before, "key").where(F.col("place") < F.col("hub")).select("key", "place")
-        before = written(rows.groupBy("key").agg(F.max("place").alias("hub")))
-        hubs.append(before)
-
-    def candidates(chosen: list[DataFrame]) -> DataFrame:
-        alike = lambda: 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-        found = [members.join(x, "key").where((F.col("place") < F.col("hub")) & alike()).select("id", (-F.col("hub.order")).alias("hub")).distinct() for x in chosen]
-        out = found[0]
-        for x in found[1:]:
-            out = out.union(x)
-        return out.where("id <> hub").distinct()
-
-    first = written(candidates(hubs[:1]))
-    links = written(confirmed(docs, first, percent))
-    groups = written(components(links.select(F.col("id").alias("a"), F.col("hub").alias("b"))))
-    # the next hubs, for what isn't in one group yet
-    more = candidates(hubs[1:]).join(groups.select("id", F.col("component").alias("one")), "id", "left").join(groups.select(F.col("id").alias("hub"), F.col("component").alias("two")), "hub", "left")
-    more = written(more.where(F.coalesce("one", "id") != F.coalesce("two", "hub")).select("id", "hub").join(first, ["id", "hub"], "left_anti"))
-    more_links = confirmed(docs, more, percent)
-    joined = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links.select("id", "hub"))
-    groups = written(components(joined))
+    groups = spread_groups(docs, members, percent)
     named = classes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
