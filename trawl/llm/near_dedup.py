@@ -11,8 +11,8 @@ is the bucket's hub: only pairs of a member with the hub are candidates, at most
 on full sets, and the groups are the connected components, by alternating large and small stars with a written table
 each round. A bucket whose members aren't all in one group then goes on with its next hubs, in rounds of more and more,
 against the members of other groups, until the rest of it is in one group or all its pairs have been tried. For these
-rounds the shingles are counted that a document shares with any other that is left: a pair has no more in common, so
-what can't be linked by this bound isn't tried. So every pair that shares a bucket is tried, connected or ruled out, and
+rounds the shingles that a document shares with any other that is left are counted by parts of their hashes: a pair has
+no more in common than the sum of its lesser counts, so what can't be linked by this bound isn't tried. So every pair that shares a bucket is tried, connected or ruled out, and
 a group of copies costs a star, not all its pairs.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; repeated rows, and
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import small_batches, table, written
@@ -37,6 +37,8 @@ BIN_BITS, ROWS, BANDS = 7, 5, 25
 BINS = 1 << BIN_BITS
 #: Hubs of a bucket in the second round; each later round takes twice as many.
 MORE_HUBS = 3
+#: Parts of the hashes by which shared shingles are counted.
+PARTS = 128
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Rows up to which a side keyed by id is broadcast to the scan of the texts; beyond, both sides are shuffled.
@@ -175,7 +177,7 @@ def in_several(rows: DataFrame) -> DataFrame:
 
 
 def shared(texts: DataFrame) -> DataFrame:
-    """(id, shared): how many of its shingles another of the texts has too, at least."""
+    """(id, shared, parts): how many of its shingles another of the texts has too, at least; in all and by part."""
 
     def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,20 +187,30 @@ def shared(texts: DataFrame) -> DataFrame:
 
     held = written(texts.mapInPandas(items, "id long, item long"))
     common = held.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("item")
-    return written(held.join(common, "item").groupBy("id").agg(F.count("*").alias("shared")))
+    by_part = held.join(common, "item").groupBy("id", F.pmod("item", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    one = by_part.groupBy("id").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0)))
+    return written(one.select("id", "shared", parts.alias("parts")))
 
 
 def spread_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the ids that are linked with others. members: the bucket rows (key, id, n, place), written."""
-    most = F.least("n", "hub.n", "shared", "hub_shared")  # that a pair can have in common
-    alike = 100 * most >= percent * (F.col("n") + F.col("hub.n") - most)
-    open_rows, count, texts = members.withColumns({"component": F.col("id"), "shared": F.col("n")}), 1, docs
+    def linkable(most: Column) -> Column:
+        """Whether a pair with at most so many shingles in common can be linked."""
+        return 100 * most >= percent * (F.col("n") + F.col("hub.n") - most)
+
+    in_common = F.aggregate(F.zip_with("parts", "hub_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    # in later rounds, a pair that meets in several buckets is tried in one of them
+    here = F.coalesce(F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("key"), F.lit(True))
+    none = {"parts": F.lit(None).cast("array<int>"), "buckets": F.lit(None).cast("array<long>")}
+    open_rows, count, texts = members.withColumns({"component": F.col("id"), "shared": F.col("n")} | none), 1, docs
     groups = tried = None
     while True:
         # only a bucket's first few go through the shuffle from each task
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("place")))
-        hubs = written(open_rows.select("key", F.col("place").alias("hub"), F.col("component").alias("hub_component"), F.col("shared").alias("hub_shared"), place.alias("k")).where(F.col("k") <= count).drop("k"))
-        pairs = open_rows.join(hubs, "key").where((F.col("place") < F.col("hub")) & (F.col("component") != F.col("hub_component")) & alike)
+        hubs = written(open_rows.select("key", F.col("place").alias("hub"), F.col("component").alias("hub_component"), F.col("shared").alias("hub_shared"), F.col("parts").alias("hub_parts"), F.col("buckets").alias("hub_buckets"), place.alias("k")).where(F.col("k") <= count).drop("k"))
+        pairs = open_rows.join(hubs, "key").where((F.col("place") < F.col("hub")) & (F.col("component") != F.col("hub_component"))
+                                                & linkable(F.least("n", "hub.n", "shared", "hub_shared")) & here & linkable(F.coalesce(in_common, "n")))
         pairs = pairs.select("id", (-F.col("hub.order")).alias("hub")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["id", "hub"], "left_anti"))
         links = written(confirmed(texts, pairs, percent).select(F.col("id").alias("a"), F.col("hub").alias("b")))
@@ -213,8 +225,8 @@ def spread_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
         if tried is pairs and not left.isEmpty():  # later rounds read the texts of what is left only
             ids = few(written(left.select(F.col("id").alias("doc_id")).distinct()))
             texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-            left = left.drop("shared").join(few(shared(texts)), "id").where(100 * F.col("shared") >= percent * F.col("n"))
-            left = in_several(left)
+            left = left.drop("shared", "parts", "buckets").join(few(shared(texts)), "id").where(100 * F.col("shared") >= percent * F.col("n"))
+            left = in_several(left.join(left.groupBy("id").agg(F.collect_set("key").alias("buckets")), "id"))
         if left.isEmpty():
             return groups
         open_rows, count = left, max(MORE_HUBS, 2 * count)
