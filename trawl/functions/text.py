@@ -82,7 +82,7 @@ def counted(tokens: Column) -> Column:
         first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))))
         return let(first, lambda starts: F.transform(starts, lambda a, k: F.struct(F.get(ordered, a - 1).alias("token"), (F.coalesce(F.get(starts, k + 1), n + 1) - a).alias("tf"))))
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)
 
 
 def saturated(tf: Column, length: Column, avgdl: Column | float, base: Column | float = 1.0) -> Column:
@@ -94,7 +94,7 @@ def saturated(tf: Column, length: Column, avgdl: Column | float, base: Column |
 
 def heaviest(weighted: Column, k: int) -> Column:
     """The k heaviest of array<struct<token, weight>>, ties to the smaller token."""
-    ranked = F.array_sort(F.transform(weighted, lambda x: F.struct((-x["weight"]).alias("less"), x["token"].alias("token"))))
+    ranked = F.sort_array(F.transform(weighted, lambda x: F.struct((-x["weight"]).alias("less"), x["token"].alias("token"))))
     return F.transform(F.slice(ranked, 1, k) if k > 0 else F.slice(ranked, 1, 0), lambda x: F.struct(x["token"].alias("token"), (-x["less"]).alias("weight")))
 
 

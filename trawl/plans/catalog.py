@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trawl.config import CollectionConfig, SearchOption, SearchQuery, VectorConfig, arms_of
 from trawl.functions import hashing, text
 from trawl.operators import documents, filters, joins, search
+from trawl.sources.layout import spread
 from trawl.streaming import changelog, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for queries that build a vector of each text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # Collections over the tables
 
 DOC_TYPES = {"lang": "string", "source": "string", "n_chars": "integer", "quality": "integer", "toxic": "integer"}
@@ -123,7 +129,7 @@ def _weights_sql(tokens: str, avgdl: float, top_k: int, name: str) -> str:
 @query("WITH " + ws_sql("(SELECT doc_id AS id, text AS txt FROM documents)", 50.0) + " SELECT id AS doc_id, token, round(weight, 6) AS weight FROM w")
 def tok_whitespace(spark, sf_dir):
     vector = text.sparse_vector(text.whitespace_tokens(F.col("text")), 50.0, 128)
-    return search.postings(table(spark, sf_dir, "documents"), vector, "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
+    return search.postings(texts(spark, sf_dir), vector, "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
 
 
 @query("WITH " + tri_sql("(SELECT p_partkey AS id, p_name AS txt FROM part)", 50.0) + " SELECT id AS p_partkey, token, round(weight, 6) AS weight FROM w")
@@ -138,18 +144,18 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 @query(f"SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda t: t <> '' AND NOT list_contains({STOP_SQL}, t)), ' ') AS words FROM documents")
 def stopwords_removed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.whitespace_tokens(F.col("text"), STOP), " ").alias("words"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(text.whitespace_tokens(F.col("text"), STOP), " ").alias("words"))
 
 
 @query("WITH " + ws_sql("(SELECT doc_id AS id, text AS txt FROM documents)", 50.0) + " SELECT round(avg(n), 6) AS avgdl, count(*) AS n_docs FROM (SELECT id, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY id)")
 def avgdl_stats(spark, sf_dir):
     n = text.pruned_length(text.whitespace_tokens(F.col("text")), 128)
-    return table(spark, sf_dir, "documents").select(n.cast("double").alias("n")).where("n > 0").agg(F.round(F.avg("n"), 6).alias("avgdl"), F.count("*").alias("n_docs"))
+    return texts(spark, sf_dir).select(n.cast("double").alias("n")).where("n > 0").agg(F.round(F.avg("n"), 6).alias("avgdl"), F.count("*").alias("n_docs"))
 
 
 @query("WITH " + ws_sql("(SELECT doc_id AS id, text AS txt FROM documents)", 50.0) + " SELECT token, count(*) AS n_with, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM w GROUP BY token")
 def df_idf_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     counted = search.token_statistics(search.postings(docs, text.sparse_vector(text.whitespace_tokens(F.col("text")), 50.0, 128), "doc_id"))
     return counted.select("token", "n_with", F.round(text.idf(F.lit(docs.count()), F.col("n_with")), 6).alias("idf"))
 
@@ -158,7 +164,7 @@ def df_idf_stats(spark, sf_dir):
 def fulltext_stem(spark, sf_dir):
     from trawl.functions import stem
 
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     stemmed = stem.stemmed(text.word_tokens(F.col("text")), F.col("lang"))
     return search.postings(docs.withColumn("stems", stemmed), text.sparse_vector(F.col("stems"), 50.0, 128), "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
 
@@ -167,7 +173,7 @@ def fulltext_stem(spark, sf_dir):
 def wmtr(spark, sf_dir):
     from trawl.functions import stem
 
-    docs = table(spark, sf_dir, "documents").withColumn("plain", text.preprocessed(F.col("text")))
+    docs = texts(spark, sf_dir).withColumn("plain", text.preprocessed(F.col("text")))
     docs = docs.withColumn("stems", stem.stemmed(text.word_tokens(F.col("text")), F.col("lang")))
     vector = text.multilevel_vector(F.col("plain"), F.col("stems"), 50.0, 128, 80, 1.0)
     return search.postings(docs, vector, "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
@@ -175,7 +181,7 @@ def wmtr(spark, sf_dir):
 
 @query()
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("content_hash"))
+    return texts(spark, sf_dir).select("doc_id", hashing.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query()
@@ -231,7 +237,7 @@ PART_SQL = f"(SELECT 0 AS id, '{PART_QUERY}' AS txt)"
 
 
 def docs_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("txt")))
 
 
 def parts_of(spark, sf_dir):
