@@ -113,9 +113,12 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 
 
 def fit_vectors(languages: list[str], counts: np.ndarray, per_language: int = CENTROIDS) -> Model:
-    n = len(languages)
-    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1.0
-    v = weighted(counts, idf).astype(np.float32)
+    """A model of rows of counts; 32-bit floating ones are overwritten, for the driver holds the matrix once."""
+    n, v = len(languages), np.asarray(counts, np.float32)
+    idf = np.log((1 + n) / (1 + np.count_nonzero(v, axis=0))) + 1.0
+    np.log1p(v, out=v)
+    v *= idf.astype(np.float32)
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
     names, centroids, least = [], [], []
     for language in sorted(set(languages)):
         rows = v[[x == language for x in languages]]
@@ -142,14 +145,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, usable: Column | None = None) ->
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, lang, counts.astype("<u4").tobytes()) for i, lang, text in zip(batch["doc_id"].array, batch["lang"], batch["text"]) if (counts := grams(text)) is not None]
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "counts"])
-
-    found = rows.where(keep).select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, counts binary")
-    found = sorted((r[1], -1 if r[0] is None else r[0], bytes(r[2])) for r in found.collect())
+            out = []
+            for i, lang, text in zip(batch["doc_id"].array, batch["lang"], batch["text"]):
+                if (counts := grams(text)) is not None:
+                    at = np.flatnonzero(counts)
+                    out.append((i, lang, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "places", "counts"])
+
+    found = rows.where(keep).select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, places binary, counts binary")
+    found = sorted((r[1], -1 if r[0] is None else r[0], bytes(r[2]), bytes(r[3])) for r in found.collect())
     if not found:
         return Model((), np.empty((0, PLACES), np.float32), np.empty(0), np.ones(PLACES))
-    counts = np.stack([np.frombuffer(x[2], "<u4") for x in found]).astype(np.float32)
+    counts = np.zeros((len(found), PLACES), np.float32)
+    for i, x in enumerate(found):
+        counts[i, np.frombuffer(x[2], "<u2")] = np.frombuffer(x[3], "<u4")
     return fit_vectors([x[0] for x in found], counts)
 
 
