@@ -104,6 +104,7 @@ def raw_scores(candidates: DataFrame) -> DataFrame:
 def grouped(fused: DataFrame, groups: DataFrame, group_max: int = 3, limit: int = 10) -> DataFrame:
     """At most group_max results a value of (id, group_value), in fused order, then the limit; a missing value is a group.
 
+    Exact: over all fused candidates.
     """
     joined = ordered(fused).drop("place").join(groups, "id", "left")
     own = Window.partitionBy("query_id", "group_value").orderBy(F.desc("score"), F.desc("tie"), "id")
