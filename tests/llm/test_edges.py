@@ -113,6 +113,20 @@ def test_pii_disclosure(spark):
     assert rows[30] == "[email holder] was there" and "Zyxwname" not in rows[0]
 
 
+def test_pii_rare_entities(spark):
+    """An entity of one document counts: a name beside it, and in one text more, gives it away; words of the corpus don't."""
+    n = 400
+    texts = ["write the note to Qwertname at one@corp.example today", "Qwertname was there", "two@corp.example wrote the note today", "Asdfname, two@corp.example, wrote", "two@corp.example, Asdfname"]
+    texts += ["write wrote the note today was there"] * (n - len(texts))
+    docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    terms = {r.term: (r.kind, r.disclosure) for r in pii.disclosing_terms(docs).collect()}
+    assert set(terms) == {"qwertname", "asdfname"}
+    assert terms["qwertname"] == ("email", pytest.approx(np.log((1 + 1 / n) / (2 + 1) * n) / np.log(n)))
+    assert terms["asdfname"] == ("email", pytest.approx(np.log((2 + 3 / n) / (2 + 1) * n / 3) / np.log(n / 3)))
+    rows = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert rows[1] == "[email holder] was there" and rows[0] == "write the note to [email holder] at [email] today"
+
+
 def test_secret_edges(spark, odd, none):
     assert secrets.found(odd).count() == 10 and secrets.found(none).count() == 0
     more = table(spark, [(1, "token: password: abcdefghijklmnop Secret='AbCdEf0123456789'", "en", "a"), (2, "ghp_" + "Z1" * 20 + " -----BEGIN RSA PRIVATE KEY-----", "en", "a")])

@@ -5,10 +5,12 @@ checks find. A corpus shows how far a term discloses an entity: with p(c) the sh
 p(t) of those that hold term t, and p(c, t) of those in which t stands within WINDOW characters of c, the disclosure is
 PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c), 1 when the term gives the entity away. Terms at or above
 GENERALISE are replaced by the kind of entity they point to, those at or above REMOVE are removed, wherever they stand.
-A pair needs SUPPORT documents; an entity that half of all documents hold is no secret.
+A pair of SUPPORT documents or more has p(c | t) as counted. Most entities stand in a document or two, so rarer pairs
+count too, smoothed towards p(c): p(c | t) = (n(c, t) + PRIOR p(c)) / (n(t) + PRIOR), PRIOR documents in which the term
+says nothing. An entity that half of all documents hold is no secret.
 
-Counts are of all documents, and are summed before they are shuffled. Only terms of supported pairs are counted in
-the whole corpus. Exact copies count as documents each: run it after deduplication if they should not.
+Counts are of all documents, and are summed before they are shuffled. Only terms of pairs that can reach GENERALISE are
+counted in the whole corpus. Exact copies count as documents each: run it after deduplication if they should not.
 
 Defined results: a null text is an empty one, without spans (`sanitised` keeps it null); repeated rows are treated
 one by one; ties between entities of a term go to the kind that sorts first; an empty table gives an empty result; extra columns are kept by `sanitised`,
@@ -27,6 +29,7 @@ from trawl.llm.spans import listed, matches, named, replaced
 
 WINDOW = 48
 SUPPORT = 3
+PRIOR = 1
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows up to which a side is broadcast to the scan of the texts; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -96,9 +99,10 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def disclosed(df: Column, both: Column, held: Column, n: int) -> Column:
-    """PMI over information content, of counts among n documents."""
-    return 1 - F.log(df / both) / F.log(F.lit(float(n)) / held)
+def disclosed(df: Column, both: Column, held: Column, n: int, support: int = SUPPORT) -> Column:
+    """PMI over information content, of counts among n documents; it falls with df."""
+    share = F.when(both >= support, both / df).otherwise((both + PRIOR * held / F.lit(float(n))) / (df + PRIOR))
+    return 1 + F.log(share) / F.log(F.lit(float(n)) / held)
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -106,15 +110,15 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     texts = docs.where("text is not null").select("text")
     n = docs.count()
     seen = texts.where(F.col("text").rlike("[0-9@]")).select(F.explode(contexts(F.col("text"))).alias("x")).select("x.entity", "x.term")
-    counted = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
+    counted = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")))
     held = counted.where("entity is not null and term is null").select("entity", F.col("both").alias("held")).where(2 * F.col("held") <= n)
     # a term stands in at least as many texts as beside entities: what that rules out needs no count in the corpus
     near = counted.where("entity is null").select("term", F.col("both").alias("near"))
-    pairs = counted.where("entity is not null and term is not null").join(held, "entity").join(near, "term")
-    pairs = written(pairs.where(disclosed(F.col("near"), F.col("both"), F.col("held"), n) >= generalise).drop("near"))
+    pairs = counted.where("entity is not null and term is not null").join(few(held), "entity").join(few(near), "term")
+    pairs = written(pairs.where(disclosed(F.col("near"), F.col("both"), F.col("held"), n, support) >= generalise).drop("near"))
     wanted = few(written(pairs.select("term").distinct()))
     df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    disclosure = disclosed(F.col("df"), F.col("both"), F.col("held"), n)
+    disclosure = disclosed(F.col("df"), F.col("both"), F.col("held"), n, support)
     told = pairs.join(df, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
     best = F.min(F.struct((-F.col("disclosure")).alias("less"), "kind"))
     return written(told.groupBy("term").agg(best.alias("x")).select("term", F.col("x.kind").alias("kind"), (-F.col("x.less")).alias("disclosure")))
