@@ -292,6 +292,19 @@ def test_chat_edges(spark):
     assert chat.chat_format(conversation(spark, rows).where("false")).count() == 0
 
 
+def test_chat_ties(spark, duck):
+    """A log that ends between two rows of one turn number is a prefix of the longer one, as in the SQL."""
+    rows = [(1, 0, "user", "x"), (2, 0, "user", "x"), (2, 0, "zed", "y"), (3, 0, "zed", "y"), (4, 0, "user", "x"), (4, 0, "zed", "y"), (4, 1, "user", "z")]
+    table = conversation(spark, rows)
+    got = chat.chat_format(table)
+    assert {r.conv_id: r.n_copies for r in got.collect()} == {3: 1, 4: 1}
+    own = duck.cursor()
+    own.sql("CREATE TEMP TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    own.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    asked = own.sql(chat.OP3_SQL)
+    assert sorted(map(tuple, got.select(asked.columns).collect())) == sorted(asked.fetchall())
+
+
 def test_chat_long(spark):
     rows = [(1, t, "user", str(t)) for t in range(600)] + [(2, t, "user", str(t)) for t in range(300)]
     got = chat.chat_format(conversation(spark, rows)).orderBy("part").collect()

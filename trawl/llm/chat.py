@@ -1,7 +1,8 @@
 """Chat formatting with cumulative-snapshot collapse, in DataFrame functions only.
 
 A conversation may be logged anew after every turn, so that shorter logs prefix longer ones. Each turn has a 120-bit
-hash of its number, role and text; the sum of the hashes up to a turn is the hash of that prefix. A conversation whose
+hash of its number, role and text; the sum of the hashes up to a turn, in the order of number, role and text, is the hash
+of that prefix. A conversation whose
 whole hash is that of a proper prefix of another is dropped by an anti-join; of equal ones the smallest id stays. What
 is left is rendered, in parts of at most BLOCK turn numbers.
 
@@ -9,7 +10,7 @@ Rolling sums are taken within blocks of turn numbers and then over the blocks, s
 never in one task, and equal conversations are counted before they are shuffled.
 
 Defined results: equal rows of a conversation count once; rows with one turn number and other texts follow one another
-by role and text; a null turn number comes first (as -1), a null text is an empty one, a null role is `none`; both
+by role and text, nulls first; a null turn number comes first (as -1), a null text is an empty one, a null role is `none`; both
 differ from the empty text and role; rows without a conv_id belong to no conversation and are left out; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -33,24 +34,25 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, prefix): the hash of the conversation up to and with the turn; one row a turn number."""
+    """(conv_id, block, row, prefix): the hash of the conversation up to and with a row, in the order of turn, role and text; one row a row of turns."""
     marked = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     digest = F.md5(F.concat_ws("\x1f", F.col("turn").cast("string"), F.length(marked("role")).cast("string"), marked("role"), marked("text")).cast("binary"))
-    hashed = turns.select("conv_id", "block", "turn", digest.alias("digest"))
-    parts = [F.sum(F.conv(F.substring("digest", 1 + 10 * i, 10), 16, 10).cast("long")).alias(f"h{i}") for i in range(3)]  # 40 bits each
-    each = hashed.groupBy("conv_id", "block", "turn").agg(*parts)
-    within = Window.partitionBy("conv_id", "block").orderBy("turn")
+    hashed = turns.select("conv_id", "block", "turn", "role", "text", digest.alias("digest"))
+    parts = [F.conv(F.substring("digest", 1 + 10 * i, 10), 16, 10).cast("long").alias(f"h{i}") for i in range(3)]  # 40 bits each
+    each = hashed.select("conv_id", "block", "turn", "role", "text", *parts)
+    order = ("turn", "role", "text")
+    within = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = each.groupBy("conv_id", "block").agg(*[F.sum(f"h{i}").alias(f"b{i}") for i in range(3)])
     blocks = blocks.select("conv_id", "block", *[F.coalesce(F.sum(f"b{i}").over(earlier), F.lit(0)).alias(f"b{i}") for i in range(3)])
-    each = each.select("conv_id", "block", "turn", *[F.sum(f"h{i}").over(within).alias(f"h{i}") for i in range(3)])
-    return each.join(blocks, ["conv_id", "block"]).select("conv_id", "turn", F.concat_ws(":", *[(F.col(f"h{i}") + F.col(f"b{i}")).cast("string") for i in range(3)]).alias("prefix"))
+    each = each.select("conv_id", "block", "turn", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(*order)).alias("row"), *[F.sum(f"h{i}").over(within).alias(f"h{i}") for i in range(3)])
+    return each.join(blocks, ["conv_id", "block"]).select("conv_id", "block", "row", F.concat_ws(":", *[(F.col(f"h{i}") + F.col(f"b{i}")).cast("string") for i in range(3)]).alias("prefix"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_copies) of the conversations that no other one continues; of equal ones the first."""
     rolled = written(prefixes(turns))
-    whole = rolled.groupBy("conv_id").agg(F.max_by("prefix", "turn").alias("prefix"))
+    whole = rolled.groupBy("conv_id").agg(F.max_by("prefix", F.struct("block", "row")).alias("prefix"))
     ends = whole.groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     passed = rolled.groupBy("prefix").agg(F.count("*").alias("n"))
     ends = written(ends)
