@@ -3,21 +3,28 @@
 A document's set holds its distinct word shingles as 64-bit hashes. One hash function deals a set into 128 bins by its
 leading bits, the least value of a bin is its entry, and an empty bin borrows from the first filled one in a random
 order of its own (the same for all documents). Bands of five bins are hashed to bucket keys: at a similarity of 0.85 a
-pair shares no key with probability 4e-7.
+pair of independent bins shares no key with probability 4e-7.
 
 Equal sets are one class, of which only the document with the smallest id goes on. In each bucket the members are
-ordered by how many others they meet in all their buckets, so that an original comes before its copies, and the first
-is the bucket's hub: only pairs of a member with the hub are candidates, at most one a bucket row. Links are confirmed
-on full sets, and the groups are the connected components, by alternating large and small stars with a written table
-each round. A bucket whose members aren't all in one group then goes on with its next hubs, in rounds of more and more,
-against the members of other groups, until the rest of it is in one group or all its pairs have been tried. For these
-rounds the shingles that a document shares with any other that is left are counted by parts of their hashes: a pair has
-no more in common than the sum of its lesser counts, so what can't be linked by this bound isn't tried. So every pair that shares a bucket is tried, connected or ruled out, and
-a group of copies costs a star, not all its pairs.
+ordered by how many others they meet in all their buckets (ties to the smaller id), so that an original comes before
+its copies, and the first is the bucket's hub: only pairs of a member with the hub are candidates, at most one a bucket
+row. Links are confirmed on full sets, and the groups are the connected components, by alternating large and small
+stars with a written table each round.
+
+A star misses the links between members that aren't linked with their hub. They are found in one more join, over all
+documents that met another one in some bucket. A shingle counts there if documents of different groups hold it; what
+can't be linked by the shingles that count goes. A pair that is linked has one of the rarest of them in common, so many
+of the rarest as the threshold lets it miss and one more. Only pairs of different groups that meet by such a shingle are
+looked at, and within the join they are ruled out by exact bounds: of the sizes, of what is left after the shingle's
+place in either order, and of the shingles counted by parts of their hashes. What passes is confirmed on full sets. So
+every pair that shares a bucket is tried, connected or ruled out, a group of copies costs a star, and the join gives no
+more rows than pairs near the threshold. A hot key is split by the sort-merge join, so no hint lets it become a
+broadcast of unsplit partitions.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; repeated rows, and
 all rows that share an id, are one document; a null id is linked with nothing, has a null component and is kept; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored, whatever their names; a text of any length is one set,
+held in a worker's memory (8 bytes a word).
 """
 
 from __future__ import annotations
@@ -25,24 +32,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import small_batches, table, written
+from trawl.llm.common import batch_of, discard, few, rows_of, table, written
 
 WORDS = 5
 BIN_BITS, ROWS, BANDS = 7, 5, 25
 BINS = 1 << BIN_BITS
-#: Hubs of a bucket in the second round; each later round takes twice as many.
-MORE_HUBS = 3
-#: Parts of the hashes by which shared shingles are counted.
-PARTS = 128
+#: Parts of the hashes by which shingles in common are bounded.
+PARTS = 32
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rows up to which a side keyed by id is broadcast to the scan of the texts; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(7)
 #: For each bin, the order in which it looks for a filled one.
@@ -91,161 +94,136 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if it is empty), band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
             out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            for doc_id, text in rows:
                 hashes = shingles(text)
                 full = len(hashes) > 0
                 out.append((doc_id, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()) if full else None, band_keys(signature(hashes)) if full else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "bands"])
+            yield batch_of(out, schema)
 
-    return small_batches(docs).select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, a written table, marked for broadcast if it is small; else left for a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, digest, n, items) of the documents with these ids, once for each set that an id has."""
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("items", pa.list_(pa.int64()))])
 
-
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (id, hub) that are linked, by full sets. pairs: written, distinct."""
-    wanted = few(written(pairs.groupBy("id").agg(F.collect_set("hub").alias("hubs"))))
-    hubs = few(written(pairs.select("hub").distinct()))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
             out, size = [], 0
-            for doc_id, text, to in zip(batch["doc_id"], batch["text"], batch["hubs"]):
-                data = shingles(text).tobytes()
-                out += [(doc_id, hub, data) for hub in to]
-                size += len(data) * len(to)
-                if size > 16 << 20:
-                    yield pd.DataFrame(out, columns=["id", "hub", "items"])
+            for doc_id, text in rows:
+                hashes = shingles(text)
+                if len(hashes):
+                    out.append((doc_id, xxhash.xxh3_128_digest(hashes.tobytes()), hashes.view(np.int64)))
+                    size += len(hashes)
+                if size > 1 << 20:
+                    yield batch_of(out, schema)
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=["id", "hub", "items"])
-
-    schema = "id long, hub long, items binary"
-    texts = docs.select("doc_id", "text")
-    members = texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "hubs").mapInPandas(sets, schema)
-    centres = texts.join(hubs.withColumnRenamed("hub", "doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.array("doc_id").alias("hubs")).mapInPandas(sets, schema)
-    both = members.join(centres.select("hub", F.col("items").alias("hub_items")), "hub")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["items"], batch["hub_items"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                if 100 * len(a) < percent * len(b):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(b, a)
-                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.loc[keep, ["id", "hub"]]
-
-    return both.select("id", "hub", "items", "hub_items").mapInPandas(compare, "id long, hub long").distinct()
+            yield batch_of(out, schema)
+
+    texts = docs.select("doc_id", "text").join(few(ids, 8).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    found = texts.mapInArrow(sets, "id long, digest binary, items array<long>")
+    return found.groupBy("id", "digest").agg(F.first("items").alias("items")).select("id", F.size("items").cast("long").alias("n"), "digest", "items")
+
+
+def linked(common: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m are linked with so many in common; what holds for some number holds for a larger one."""
+    return 100 * common >= percent * (n + m - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the pairs (id, hub) that are linked, by full sets: a written table. pairs: written."""
+    rows = pairs.count()
+    hubs = few(written(pairs.select(F.col("hub").alias("id")).distinct()), 8)
+    own = sets.join(few(pairs, 16, rows), "id").select("id", "hub", "n", "items")
+    others = sets.join(hubs, "id", "left_semi").select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("items").alias("others"))
+    common = F.size(F.array_intersect("items", "others")).cast("long")
+    sized = linked(F.least("n", "m"), F.col("n"), F.col("m"), percent)
+    return written(own.join(others.hint("merge"), "hub").where(sized & linked(common, F.col("n"), F.col("m"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id it reaches."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    rows, seen = edges.count(), None
     while True:
         # large star: the larger neighbours of a node point to its least neighbour
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(few(least, 16, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and its smaller neighbours point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        small = large.join(few(least, 16, rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        before, edges = edges, written(small)
+        discard(before)
+        rows, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (rows, mark) == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        seen = now
-
-
-def in_several(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that aren't in one component."""
-    rows = written(rows)
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return written(rows.join(several, "key"))
-
-
-def shared(texts: DataFrame) -> DataFrame:
-    """(id, shared, parts): how many of its shingles another of the texts has too, at least; in all and by part."""
-
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                found = shingles(text).view(np.int64)
-                yield pd.DataFrame({"id": np.full(len(found), doc_id, np.int64), "item": found})
-
-    held = written(texts.mapInPandas(items, "id long, item long"))
-    common = held.groupBy("item").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("item")
-    by_part = held.join(common, "item").groupBy("id", F.pmod("item", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
-    one = by_part.groupBy("id").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0)))
-    return written(one.select("id", "shared", parts.alias("parts")))
-
-
-def spread_groups(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the ids that are linked with others. members: the bucket rows (key, id, n, place), written."""
-    def linkable(most: Column) -> Column:
-        """Whether a pair with at most so many shingles in common can be linked."""
-        return 100 * most >= percent * (F.col("n") + F.col("hub.n") - most)
-
-    in_common = F.aggregate(F.zip_with("parts", "hub_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    # in later rounds, a pair that meets in several buckets is tried in one of them
-    here = F.coalesce(F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("key"), F.lit(True))
-    none = {"parts": F.lit(None).cast("array<int>"), "buckets": F.lit(None).cast("array<long>")}
-    open_rows, count, texts = members.withColumns({"component": F.col("id"), "shared": F.col("n")} | none), 1, docs
-    groups = tried = None
-    while True:
-        # only a bucket's first few go through the shuffle from each task
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("place")))
-        hubs = written(open_rows.select("key", F.col("place").alias("hub"), F.col("component").alias("hub_component"), F.col("shared").alias("hub_shared"), F.col("parts").alias("hub_parts"), F.col("buckets").alias("hub_buckets"), place.alias("k")).where(F.col("k") <= count).drop("k"))
-        pairs = open_rows.join(hubs, "key").where((F.col("place") < F.col("hub")) & (F.col("component") != F.col("hub_component"))
-                                                & linkable(F.least("n", "hub.n", "shared", "hub_shared")) & here & linkable(F.coalesce(in_common, "n")))
-        pairs = pairs.select("id", (-F.col("hub.order")).alias("hub")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["id", "hub"], "left_anti"))
-        links = written(confirmed(texts, pairs, percent).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        tried = pairs if tried is None else tried.union(pairs)
-        if groups is None:
-            groups = written(components(links))
-        elif not links.isEmpty():
-            groups = written(components(links.union(groups.where("id <> component").select("id", "component"))))
-        last = hubs.groupBy("key").agg(F.min("hub").alias("last"))
-        left = open_rows.drop("component").join(last, "key").where(F.col("place") < F.col("last")).drop("last")
-        left = in_several(left.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        if tried is pairs and not left.isEmpty():  # later rounds read the texts of what is left only
-            ids = few(written(left.select(F.col("id").alias("doc_id")).distinct()))
-            texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-            left = left.drop("shared", "parts", "buckets").join(few(shared(texts)), "id").where(100 * F.col("shared") >= percent * F.col("n"))
-            left = in_several(left.join(left.groupBy("id").agg(F.collect_set("key").alias("buckets")), "id"))
-        if left.isEmpty():
-            return groups
-        open_rows, count = left, max(MORE_HUBS, 2 * count)
+        seen = (rows, mark)
+
+
+def stars(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The ids that meet another in some bucket, and the pairs (id, hub) of each with the first of its buckets: written tables."""
+    rows = classes.select("id", "n", F.explode(F.array_distinct("bands")).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = rows.join(sizes.hint("merge"), "key").groupBy("id", "n").agg(F.sum("size").alias("degree"), F.collect_list("key").alias("keys"))  # BANDS keys at most
+    met = written(met)
+    placed = met.select("id", "n", F.explode("keys").alias("key"), F.struct("degree", (-F.col("id")).alias("order"), "n").alias("place"))
+    first = placed.groupBy("key").agg(F.max("place").alias("hub"))
+    pairs = placed.join(first.hint("merge"), "key").where((F.col("id") != -F.col("hub.order")) & linked(F.least("n", "hub.n"), F.col("n"), F.col("hub.n"), percent))
+    return written(met.select("id").distinct()), written(pairs.select("id", (-F.col("hub.order")).alias("hub")).distinct())
+
+
+def near_rest(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(id, hub) of the pairs of different groups that may still be linked. A written table; groups: (id, component), written."""
+    named = sets.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "digest", "n", "items")
+    held = named.select("id", "component", "digest", "n", F.explode("items").alias("item"))
+    across = held.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("item", "holders")
+    kept = held.join(across.hint("merge"), "item").groupBy("id", "component", "digest", "n").agg(F.collect_list("item").alias("items"), F.collect_list("holders").alias("holders"))
+    kept = kept.where(100 * F.size("items") >= percent * F.col("n")).select("id", "component", "n", "items", "holders")
+    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("item", pa.int64()), ("at", pa.int64()), ("parts", pa.list_(pa.int32()))])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
+            out = []
+            for doc_id, component, n, items, holders in rows:
+                item = np.array(items, np.int64)
+                missed = len(item) - -(-percent * n // 100)  # of those that count, a linked pair misses no more
+                first = item[np.lexsort((item, np.array(holders)))[:missed + 1]]
+                parts = np.bincount(item % PARTS, minlength=PARTS).astype(np.int32)
+                out += [(doc_id, component, n, len(item), x, i, parts) for i, x in enumerate(first.tolist())]
+                if len(out) > 1 << 16:
+                    yield batch_of(out, schema)
+                    out = []
+            yield batch_of(out, schema)
+
+    prefixes = written(kept.mapInArrow(rarest, "id long, component long, n long, shared long, item long, at long, parts array<int>"))
+    a, b = prefixes.alias("a"), prefixes.alias("b").hint("merge")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    may = lambda most: linked(most, x("n"), y("n"), percent)
+    placed = F.least(x("at"), y("at")) + F.least(x("shared") - x("at"), y("shared") - y("at"))
+    by_part = F.aggregate(F.zip_with(x("parts"), y("parts"), lambda i, j: F.least(i, j)), F.lit(0), lambda t, i: t + i).cast("long")
+    found = a.join(b, (x("item") == y("item")) & (x("id") < y("id")) & (x("component") != y("component")) & may(F.least(x("shared"), y("shared"))) & may(placed) & may(by_part))
+    return written(found.select(x("id").alias("id"), y("id").alias("hub")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs))
-    full = signed.where("digest is not null and doc_id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    firsts = full.join(classes, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
-    firsts = written(firsts)
-    # at least two different ids meet in a bucket
-    sizes = firsts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(firsts.join(sizes, "key"))
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    members = written(members.join(degree, "id").select("key", "id", "n", F.struct("degree", (-F.col("id")).alias("order"), "n").alias("place")))
-    groups = spread_groups(docs, members, percent)
-    named = classes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
+    least = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")
+    classes = written(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(least).select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.bands"))
+    met, pairs = stars(classes, percent)
+    sets = written(sets_of(docs, met))
+    links = confirmed(pairs, sets, percent)
+    groups = written(components(links))
+    more = near_rest(sets, groups, percent)
+    if not more.isEmpty() and not (more := confirmed(more, sets, percent)).isEmpty():
+        groups = written(components(more.union(groups.where("id <> component").select("id", "component"))))
+    named = classes.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -254,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without those that aren't the first of their group."""
     dropped = written(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
-    return docs.join(few(dropped), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(dropped, 8), "doc_id", "left_anti").select(docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
