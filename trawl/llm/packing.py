@@ -4,16 +4,20 @@ A document's ids (and an end id) are cut into full sequences and one rest. The r
 of bounded size, and each bucket is packed alone. The longest rest opens a window; a subset-sum table, kept as the
 bits of one integer per length, finds the multiset of the remaining lengths that comes closest to the window's
 capacity, and walking back through the tables gives the counts. A multiset that fills its window is used as often as
-the counts allow. Where the closest multiset leaves slack, the window isn't padded: its opening rests are laid end to
-end after the packed ones and cut at every sequence's end, and what is left of the last one is cut into sequences
-whose lengths are powers of two. So nothing is padded, and a rest is cut only where no multiset could have filled.
-
-Defined results: a null or empty text is a document of the end id alone; repeated rows are packed one by one; ties
-between equal lengths go by id and start; an empty table gives an empty result; extra columns are ignored.
+the counts allow. Where the closest multiset leaves slack, it is used too, and the slack is filled by cutting it off
+the longest rest that is left, whose remainder goes back to the others. Of the last window of a bucket, for which
+nothing is left to cut, the pieces are laid end to end and cut into sequences whose lengths are powers of two. So
+nothing is padded, and a rest is cut only where no multiset could have filled.
+
+Defined results: a null or empty text is a document of the end id alone; repeated rows are packed one by one, and dealt
+over the buckets by the input's partition too, so that a row of a million copies makes no bucket of its own; ties
+between equal lengths go by id and start; an empty table gives an empty result; extra columns are ignored; a text of any
+length is tokenized whole, in a worker's memory.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import small_batches, table
+from trawl.llm.common import batch_of, rows_of, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -67,11 +72,28 @@ class Pieces(dict):
         return x
 
 
+#: The rules of a tokenizer whose plain texts are split here: what its file says of them.
+SPLIT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+
+
+def splits_by_piece(path: str) -> bool:
+    """Whether the tokenizer of this file has the rules that PIECE and PLAIN are made for."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (rules.get("normalizer") == SPLIT["normalizer"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+            and all("<|" in x["content"] for x in rules["added_tokens"]) and parts[0].get("pattern") == {"Regex": SPLIT["split"]} and not parts[1].get("add_prefix_space") and rules["model"]["type"] == "BPE")
+
+
 class WordTokenizer:
-    """ids of texts for a tokenizer that lowers case, splits by PIECE, drops white space and never joins over pieces.
+    """ids of texts for a tokenizer's file.
 
-    Plain texts are split here, and their pieces looked up; texts beyond Latin letters, or with what may be a special
-    token, are encoded as they are.
+    Where it lowers case, splits by PIECE, drops white space and never joins over pieces, plain texts are split here, and
+    their pieces looked up; texts beyond Latin letters, or with what may be a special token, and all texts of other
+    tokenizers, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -80,10 +102,11 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.pieces = Pieces(self.model.model.tokenize)
+        self.by_piece = splits_by_piece(path)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if not self.by_piece or "<|" in text or not PLAIN.fullmatch(text):
             return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
 
@@ -124,30 +147,32 @@ def closest(lengths: list[int], counts: dict[int, int], capacity: int) -> tuple[
     return best, chosen
 
 
-def windows(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Multisets that fill a window, each with the number of windows it fills; and the counts that none could use."""
-    counts = {n: c for n, c in counts.items() if c > 0}
-    order = sorted(counts, reverse=True)
-    filled, rest = [], {}
-    for i, longest in enumerate(order):
-        while counts[longest]:
-            counts[longest] -= 1
-            total, chosen = closest([n for n in order[i:] if counts[n]], counts, capacity - longest)
-            counts[longest] += 1
-            if total < capacity - longest:
-                rest[longest] = counts[longest]
-                counts[longest] = 0
-                break
-            chosen[longest] = chosen.get(longest, 0) + 1
-            times = min(counts[n] // c for n, c in chosen.items())
-            for n, c in chosen.items():
-                counts[n] -= c * times
-            filled.append((chosen, times))
-    return filled, rest
-
+def windows(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[dict[int, int], int, int, int]]:
+    """(multiset, windows, slack, donor): the closest multisets, opened by the longest length that is left.
 
-def pack_bucket(pieces: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
-    """Sequences for the pieces of one bucket. ids: of the rests only, 32-bit; crc: of whole pieces."""
+    Slack is cut off a piece of the donor's length, whose remainder counts from then on; 0 if nothing is left to cut.
+    """
+    counts = {n: c for n, c in counts.items() if c > 0}
+    while counts:
+        longest = max(counts)
+        counts[longest] -= 1
+        total, chosen = closest(sorted((n for n, c in counts.items() if c), reverse=True), counts, capacity - longest)
+        counts[longest] += 1
+        chosen[longest] = chosen.get(longest, 0) + 1
+        slack = capacity - longest - total
+        times = 1 if slack else min(counts[n] // c for n, c in chosen.items())
+        for n, c in chosen.items():
+            counts[n] -= c * times
+        donor = max((n for n, c in counts.items() if c), default=0) if slack else 0  # longer than the slack, or it were chosen
+        if donor:
+            counts[donor] -= 1
+            counts[donor - slack] = counts.get(donor - slack, 0) + 1
+        counts = {n: c for n, c in counts.items() if c}
+        yield chosen, times, slack, donor
+
+
+def pack_bucket(pieces: pd.DataFrame, capacity: int = CAPACITY, width: str = "<u2") -> pd.DataFrame:
+    """Sequences for the pieces of one bucket. ids: of the rests only, of the width; ids_crc32: of whole pieces."""
     pieces = pieces.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
     length, start = pieces["length"].to_numpy(), pieces["start"].to_numpy()
     out: list[tuple[int, int, int, int, int]] = []  # row, from, length, sequence, offset
@@ -155,37 +180,39 @@ def pack_bucket(pieces: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     for row in np.flatnonzero(length == capacity):
         out.append((row, 0, capacity, sequence, 0))
         sequence += 1
-    rows: dict[int, list[int]] = {}
+    rests: dict[int, list[tuple[int, int]]] = {}  # by length: row, from
     for row in np.flatnonzero(length < capacity)[::-1]:
-        rows.setdefault(int(length[row]), []).append(row)
-    filled, rest = windows({n: len(x) for n, x in rows.items()}, capacity)
-    for chosen, times in filled:
+        rests.setdefault(int(length[row]), []).append((row, 0))
+    for chosen, times, slack, donor in windows({n: len(x) for n, x in rests.items()}, capacity):
         for _ in range(times):
-            offset = 0
+            offset, window = 0, []
             for n, c in chosen.items():
                 for _ in range(c):
-                    out.append((rows[n].pop(), 0, n, sequence, offset))
+                    window.append((*rests[n].pop(), n, offset))
                     offset += n
-            sequence += 1
-    # the others, end to end
-    total = sum(n * c for n, c in rest.items())
-    ends = list(range(capacity, total + 1, capacity))
-    ends += list(np.cumsum([ends[-1] if ends else 0] + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1])[1:])
-    at, k, begin = 0, 0, 0
-    for n in rest:
-        while rows[n]:
-            row, done = rows[n].pop(), 0
-            while done < n:
-                use = min(n - done, int(ends[k]) - at)
-                out.append((row, done, use, sequence + k, at - begin))
-                done, at = done + use, at + use
-                if at == ends[k]:
-                    begin, k = at, k + 1
+            if donor:
+                row, at = rests[donor].pop()
+                window.append((row, at, slack, offset))
+                rests.setdefault(donor - slack, []).append((row, at + slack))
+            if donor or not slack:
+                out += [(row, at, n, sequence, offset) for row, at, n, offset in window]
+                sequence += 1
+                continue
+            ends = np.cumsum([1 << b for b in range(capacity.bit_length() - 1, -1, -1) if offset >> b & 1]).tolist()
+            begins = [0, *ends]
+            k = 0
+            for row, at, n, offset in window:
+                while n:
+                    use = min(n, ends[k] - offset)
+                    out.append((row, at, use, sequence + k, offset - begins[k]))
+                    at, n, offset = at + use, n - use, offset + use
+                    k += offset == ends[k]
+            sequence += len(ends)
     row, source, size, seq, offset = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 5
     result = pieces.iloc[row].reset_index(drop=True)
     crc = result["ids_crc32"].to_numpy(np.int64).copy()
     for i in np.flatnonzero(size != length[row]):
-        crc[i] = zlib.crc32(np.frombuffer(result["ids"][i], "<u2").astype("<u4")[source[i]:source[i] + size[i]].tobytes())
+        crc[i] = zlib.crc32(np.frombuffer(result["ids"][i], width).astype("<u4")[source[i]:source[i] + size[i]].tobytes())
     bucket = result["bucket"].to_numpy(np.int64) if len(result) else np.empty(0, np.int64)
     return pd.DataFrame({"doc_id": result["doc_id"], "start": start[row] + source, "length": size, "ids_crc32": crc,
                          "doc_tokens": result["doc_tokens"], "sequence_id": (bucket << 32) + seq, "offset": offset})
@@ -194,30 +221,32 @@ def pack_bucket(pieces: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, bucket: int = BUCKET) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    path: of the tokenizer's file, at the same place on every executor. Its ids must be below 65536.
+    path: of the tokenizer's file, at the same place on every executor.
     """
     buckets = max(1, -(-docs.count() // bucket))
-    dealt = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"))
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(buckets)).alias("bucket"))
+    width = "<u2" if max(end_id + 1, tokenizer(path).model.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else "<u4"
+    schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "bucket", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for rows in rows_of(batches):
             out = []
-            for doc_id, text, to in zip(batch["doc_id"].array, batch["text"], batch["bucket"]):
+            for doc_id, text, to in rows:
                 ids = encode(text) + end
                 n = len(ids) // 4
                 for a in range(0, n, capacity):
                     part = ids[4 * a:4 * (a + capacity)]
-                    rest = np.frombuffer(part, "<u4").astype("<u2").tobytes() if len(part) < 4 * capacity else None
+                    rest = np.frombuffer(part, "<u4").astype(width).tobytes() if len(part) < 4 * capacity else None
                     out.append((doc_id, to, a, len(part) // 4, zlib.crc32(part), n, rest))
                 if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=names)
+                    yield batch_of(out, schema)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            yield batch_of(out, schema)
 
-    names = ["doc_id", "bucket", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    cut = dealt.mapInPandas(pieces, "doc_id long, bucket long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    return cut.groupBy("bucket").applyInPandas(lambda x: pack_bucket(x, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = dealt.mapInArrow(pieces, "doc_id long, bucket long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return cut.groupBy("bucket").applyInPandas(lambda x: pack_bucket(x, capacity, width), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:
