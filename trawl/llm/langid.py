@@ -2,16 +2,21 @@
 
 A text becomes a vector of its letter n-grams (one to three characters, words marked by a space, lower case), hashed to
 a fixed number of places, weighted by TF-IDF and normalised. Each language's training vectors are clustered by
-spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine. It is
-rejected if that cosine is below NEAR times the least one that a training text of the language has.
+spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine, of equal
+ones that of the first by name. It is rejected if that cosine is below NEAR times the LOW quantile of the cosines that
+training texts of the language have in its band of lengths (of all languages, where the language has under FULL there;
+where all have under FULL, FAR times the least): short texts have lower cosines than long ones, and one odd training
+text sets no threshold for all.
 
-The model is fitted on a sample of at most about SAMPLE rows, dealt evenly over the languages and chosen by a hash of
-the id; `fit` returns it as plain arrays, whose size doesn't depend on the table. The language counts that the sample
-is dealt by are of the whole table. Texts are read whole, in blocks.
+The model is fitted on a sample of about SAMPLE rows, dealt evenly over the LANGUAGES most frequent languages (ties by
+name), at least LEAST of each, and chosen by a hash of the id and the text; a row that is repeated is in it once. `fit`
+returns the model as plain arrays, whose size doesn't depend on the table. The language counts that the sample is dealt by
+are of the whole table. Texts are read whole, in blocks.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; so is every text if no row
 could be learned from. Rows with a null language, and held-out rows, aren't learned from. Repeated rows are predicted
-one by one. An empty table gives an empty result; extra columns are kept by `predict` if they are named in `carry`.
+one by one. An empty table gives an empty result; extra columns are kept by `predict` if they are named in `carry`, and
+by `accepted` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import held_out, small_batches, table
+from trawl.llm.common import fresh, held_out, table
 
 PLACES = 4096
 CENTROIDS = 4
-SAMPLE = 3000
-NEAR = 0.4
+SAMPLE, LANGUAGES, LEAST = 3000, 200, 16
+NEAR, LOW, FULL, FAR = 0.65, 0.01, 50, 0.4
+#: Numbers of n-grams at which the bands of lengths begin.
+BANDS = (0, 1 << 6, 1 << 8, 1 << 10)
 BLOCK = 1 << 20
 UND = "und"
 
@@ -80,11 +87,15 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def band_of(counts: np.ndarray) -> int:
+    return int(np.searchsorted(BANDS, counts.sum(), side="right")) - 1
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]  # of the centroids
     centroids: np.ndarray
-    least: np.ndarray  # the cosine below which each centroid rejects
+    least: np.ndarray  # the cosine below which each centroid rejects, by band of lengths
     idf: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -94,7 +105,7 @@ class Model:
         cosines = self.centroids @ weighted(counts, self.idf).astype(np.float32)
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, bool(cosines[best] < self.least[best])
+        return self.languages[best], score, bool(cosines[best] < self.least[best, band_of(counts)])
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -115,33 +126,47 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 def fit_vectors(languages: list[str], counts: np.ndarray, per_language: int = CENTROIDS) -> Model:
     """A model of rows of counts; 32-bit floating ones are overwritten, for the driver holds the matrix once."""
     n, v = len(languages), np.asarray(counts, np.float32)
+    bands = np.array([band_of(x) for x in v])
     idf = np.log((1 + n) / (1 + np.count_nonzero(v, axis=0))) + 1.0
     np.log1p(v, out=v)
     v *= idf.astype(np.float32)
     v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
-    names, centroids, least = [], [], []
-    for language in sorted(set(languages)):
-        rows = v[[x == language for x in languages]]
-        c, near = cluster(rows, max(1, min(per_language, len(rows) // 8)))
-        for i in range(len(c)):
-            names.append(language)
-            centroids.append(c[i])
-            least.append(NEAR * near[:, 0].min())
-    return Model(tuple(names), np.array(centroids, np.float32).reshape(-1, PLACES), np.array(least), idf)
+    languages, cosine = np.array(languages), np.zeros(n)
+    names, centroids = [], []
+    for language in sorted(set(languages.tolist())):
+        own = np.flatnonzero(languages == language)
+        c, near = cluster(v[own], max(1, min(per_language, len(own) // 8)))
+        cosine[own] = near[:, 0]
+        names += [language] * len(c)
+        centroids += list(c)
+
+    def low(rows: np.ndarray) -> float:
+        if rows.sum() >= FULL:
+            return NEAR * float(np.quantile(cosine[rows], LOW))
+        return FAR * float(cosine[rows].min()) if rows.any() else 0.0
+
+    least = np.zeros((len(names), len(BANDS)))
+    for i, language in enumerate(names):
+        for k in range(len(BANDS)):
+            own = (bands == k) & (languages == language)
+            least[i, k] = low(own if own.sum() >= FULL else bands == k)
+    return Model(tuple(names), np.array(centroids, np.float32).reshape(-1, PLACES), least, idf)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, usable: Column | None = None) -> Model:
     """A model of docs' text and lang, where usable holds (default: rows that aren't held out)."""
     usable = ~held_out() if usable is None else usable
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    # a row a language, LANGUAGES at most
+    counted = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    nothing = Model((), np.empty((0, PLACES), np.float32), np.empty((0, len(BANDS))), np.ones(PLACES))
     if not counted:
-        return Model((), np.empty((0, PLACES), np.float32), np.empty(0), np.ones(PLACES))
-    each = max(16, sample // len(counted))
+        return nothing
+    each = max(LEAST, sample // len(counted))
     wide = 1 << 30
     keep = F.lit(False)
     for language, n in sorted(counted.items()):
-        keep = keep | ((F.col("lang") == language) & (F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(wide)) < min(wide, each * wide // n)))
+        keep = keep | ((F.col("lang") == language) & (F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(wide)) < min(wide, each * wide // n)))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,10 +177,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, usable: Column | None = None) ->
                     out.append((i, lang, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "places", "counts"])
 
-    found = rows.where(keep).select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, places binary, counts binary")
+    found = rows.where(keep).select("doc_id", "lang", "text").distinct().mapInPandas(vectors, "doc_id long, lang string, places binary, counts binary")
     found = sorted((r[1], -1 if r[0] is None else r[0], bytes(r[2]), bytes(r[3])) for r in found.collect())
     if not found:
-        return Model((), np.empty((0, PLACES), np.float32), np.empty(0), np.ones(PLACES))
+        return nothing
     counts = np.zeros((len(found), PLACES), np.float32)
     for i, x in enumerate(found):
         counts[i, np.frombuffer(x[2], "<u2")] = np.frombuffer(x[3], "<u4")
@@ -163,25 +188,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, usable: Column | None = None) ->
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with lang_pred, score and rejected."""
-    own = "lang_pred string, score double, rejected boolean"
+    """The carried columns with lang_pred, score and rejected, which no carried column may be named."""
+    if clash := {"lang_pred", "score", "rejected"} & {c.lower() for c in carry}:
+        raise ValueError(f"columns named as the result's: {sorted(clash)}")
 
-    @F.pandas_udf(own)
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(x) for x in texts], columns=["lang_pred", "score", "rejected"])
 
-    return small_batches(docs).select(*carry, guess("text").alias("x")).select(*carry, "x.*")
+    (x,) = fresh(docs, "x")
+    return docs.select(*carry, guess("text").alias(x)).select(*carry, f"{x}.*")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those that the model rejects."""
-    carry = tuple(docs.columns)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series([not model.predict(x)[2] for x in texts], dtype=bool)
 
-    return small_batches(docs).where(kept("text")).select(*carry)
+    return docs.where(kept("text")).select(docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
