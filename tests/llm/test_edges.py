@@ -236,7 +236,7 @@ def test_tokenizer_is_the_public_one(texts):
 
 
 def test_fingerprint_edges(odd, none):
-    rows = fingerprint.fingerprints(odd, per_range=2).toPandas()
+    rows = fingerprint.fingerprints(odd, ranges=5).toPandas()
     assert len(rows) == 10 and rows[rows.doc_id.isna()].n_chars.item() == 27
     assert rows[rows.doc_id == 2].near_edited.tolist() == [1.0] and fingerprint.fingerprints(none).count() == 0
     one = fingerprint.fingerprints(odd.where("doc_id = 8")).first()

@@ -5,9 +5,16 @@ boundary needs more zero bits, above it fewer, so sizes gather around the usual
 alone, so text that moves keeps its chunks. A fingerprint is the set of (digest, length) of the chunks, and the
 likeness of one to another is its containment: the length of its chunks that the other has too, over all its length.
 
+For the next document, rows are ordered by id and a hash of the text, and dealt into ranges of that order, as many as
+the input has partitions (RANGES times), so a range doesn't grow with the table. The ends of the ranges come from a
+sample of (id, hash), of which the driver holds 16 bytes a row, SAMPLED rows a range; each range also gets the first row of
+the next one. The rows of one id are split between ranges by their texts; equal rows stay together, and cost one
+fingerprint.
+
 Defined results: a null text is an empty one, whose fingerprint is empty, alike (1) to another empty one and unlike
-(0) any other; documents are followed by the next by id, then text; null ids come first; the last is followed by the
-first, and a single document by itself; extra columns are ignored; an empty table gives an empty result.
+(0) any other; documents are followed by the next by id, then by a hash of the text; null ids come first; the last is
+followed by the first, and a single document by itself; extra columns are ignored; an empty table gives an empty result;
+a text of any length is chunked whole, in a worker's memory.
 """
 
 from __future__ import annotations
@@ -19,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import small_batches, table
+from trawl.llm.common import batch_of, rows_of, table
 
 LEAST, USUAL, MOST = 24, 64, 256
 HARD, EASY = 7, 4  # zero bits asked for below and above the usual size
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Documents in a range of ids, on average, and the most ranges that the driver keeps the ends of.
-RANGE, MOST_RANGES = 1024, 20_000
+#: Ranges for each partition of the input, and rows of the sample for each range.
+RANGES, SAMPLED = 4, 20
 
 
 def gear(data: bytes) -> np.ndarray:
@@ -90,56 +98,67 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def followed(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
-    """(doc_id, text, range, ahead), dealt so that a task has whole ranges of ids, sorted, each closed by a row of the next range (ahead)."""
-    keyed = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-sys.maxsize - 1)).cast("long").alias("id_key"))
+def followed(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(doc_id, text, range, ahead), dealt so that a task has whole ranges, sorted, each closed by a row of the next range (ahead)."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id"), F.lit(-sys.maxsize - 1)).cast("long").alias("id_key"), F.xxhash64(text).alias("hash"))
     n = keyed.count()
-    ranges = max(1, min(MOST_RANGES, n // per_range))
-    ends = np.empty(0, np.int64)
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        ends = np.unique(np.array(keyed.agg(F.percentile_approx("id_key", at, 10 * ranges)).first()[0], np.int64))
-
-    def range_of(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(ends, ids, side="left")
-
-    own = F.pandas_udf(lambda ids: pd.Series(range_of(ids.to_numpy(np.int64)), dtype="int64"), "long")
-    firsts = sorted((r[0], r[1]) for r in keyed.groupBy(own("id_key")).agg(F.min("id_key")).collect())  # a row a range
+    ranges = RANGES * docs.rdd.getNumPartitions() if ranges is None else ranges
+    wide = 1 << 30
+    chosen = keyed.where(F.pmod(F.xxhash64("id_key", "hash", F.lit("ends")), F.lit(wide)) < min(wide, -(-SAMPLED * ranges * wide // max(n, 1))))
+    sample = sorted({(r[0], r[1]) for r in chosen.select("id_key", "hash").distinct().collect()})
+    ends = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []  # the first row of each range but one
+    end_ids, end_hashes = (np.array(x, np.int64) for x in zip(*ends)) if ends else (np.empty(0, np.int64),) * 2
+
+    def range_of(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many ends are at or before each row."""
+        low, high = np.searchsorted(end_ids, ids, side="left"), np.searchsorted(end_ids, ids, side="right")
+        out = low.copy()
+        for i in np.flatnonzero(low < high):  # an id that ranges begin within
+            out[i] = low[i] + np.searchsorted(end_hashes[low[i]:high[i]], hashes[i], side="right")
+        return out
+
+    own = F.pandas_udf(lambda ids, hashes: pd.Series(range_of(ids.to_numpy(np.int64), hashes.to_numpy(np.int64)), dtype="int64"), "long")
+    firsts = sorted((r[0], tuple(r[1])) for r in keyed.groupBy(own("id_key", "hash")).agg(F.min(F.struct("id_key", "hash"))).collect())  # a row a range
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
 
-    def places(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy(np.int64)
-        return pd.Series([[int(r), int(before[i])] if i in before else [int(r)] for r, i in zip(range_of(ids), ids.tolist())])
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids, hashes = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        return pd.Series([[int(r), before[key]] if (key := (i, h)) in before else [int(r)] for r, i, h in zip(range_of(ids, hashes), ids.tolist(), hashes.tolist())])
 
-    dealt = keyed.select("doc_id", "id_key", "text", F.posexplode(F.pandas_udf(places, "array<long>")("id_key")).alias("ahead", "range"))
-    return dealt.repartition(max(1, ranges // 2), "range").sortWithinPartitions("range", "ahead", "id_key", "text").select("doc_id", "text", "range", "ahead")
+    dealt = keyed.select("doc_id", "id_key", "hash", "text", F.posexplode(F.pandas_udf(places, "array<long>")("id_key", "hash")).alias("ahead", "range"))
+    return dealt.repartition(max(1, ranges), "range").sortWithinPartitions("range", "ahead", "id_key", "hash", "text").select("doc_id", "text", "range", "ahead")
 
 
-def fingerprints(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row a row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    names = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(k, kinds[v]) for k, v in names.items()])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # doc_id, text, range, fingerprint
+    def pair(text: str, have: dict[str, int], following: str, then: dict[str, int]) -> tuple:
+        other = edited(text, following)
+        changed = fingerprint(other)
+        return (len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), written_out(have), written_out(changed), containment(have, changed), containment(have, then))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # doc_id, text, fingerprint
         closed = None
-        for batch in batches:
+        same = (None, None, None)  # two texts that followed each other, and their row
+        for rows in rows_of(batches):
             out = []
-            for doc_id, text, place, ahead in zip(batch["doc_id"].array, batch["text"], batch["range"], batch["ahead"]):
+            for doc_id, text, place, ahead in rows:
                 if place == closed:
                     continue
-                have = fingerprint(text)
+                have = last[2] if last is not None and last[1] == text else fingerprint(text)
                 if last is not None:
-                    other = edited(last[1], text)
-                    changed = fingerprint(other)
-                    out.append((last[0], len(last[1]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), written_out(last[3]), written_out(changed),
-                                containment(last[3], changed), containment(last[3], have)))
-                if ahead:
-                    last, closed = None, place
-                else:
-                    last = (doc_id, text, place, have)
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return followed(docs, per_range).mapInPandas(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                    if same[0] != last[1] or same[1] != text:
+                        same = (last[1], text, pair(last[1], last[2], text, have))
+                    out.append((last[0], *same[2]))
+                last, closed = (None, place) if ahead else ((doc_id, text, have), closed)
+            yield batch_of(out, schema)
+
+    return followed(docs, ranges).mapInArrow(compare, ", ".join(f"{k} {v}" for k, v in names.items()))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
