@@ -60,6 +60,16 @@ def few(df: DataFrame, width: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def few_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """df, a written table, marked for broadcast if the sum of its rows' sizes is small."""
+    return few(df, 1, df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0])
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's columns as one column, `row`: what an operator adds beside it clashes with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it no column of df (letter case aside)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -11,10 +11,11 @@ says nothing. An entity that half of all documents hold is no secret.
 
 Counts are of all documents, and are summed before they are shuffled. Only terms of pairs that can reach GENERALISE are
 counted in the whole corpus. Exact copies count as documents each: run it after deduplication if they should not.
+Terms are looked for in a text whose entities are blanked.
 
 Defined results: a null text is an empty one, without spans (`sanitised` keeps it null); repeated rows are treated
-one by one; ties between entities of a term go to the kind that sorts first; an empty table gives an empty result; extra columns are kept by `sanitised`,
-and clash with nothing. Terms that overlap an entity's span are left to the entity.
+one by one; ties between entities of a term go to the kind that sorts first; an empty table gives an empty result; extra
+columns are kept by `sanitised`, whatever their names; a text of any length takes time in proportion to it and its matches.
 """
 
 from __future__ import annotations
@@ -24,15 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table, written
-from trawl.llm.spans import listed, matches, named, replaced
+from trawl.llm.common import few_bytes, packed, table, written
+from trawl.llm.spans import SPAN, blanked, let, listed, matches, named, replaced
 
 WINDOW = 48
 SUPPORT = 3
 PRIOR = 1
 GENERALISE, REMOVE = 0.8, 0.95
-#: Rows up to which a side is broadcast to the scan of the texts; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 
 TERM = r"\p{L}{3,}"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -68,7 +67,7 @@ KINDS = (
 
 def entities(text: Column, kind: Kind, around: int = 0) -> Column:
     found = F.filter(matches(text, kind.pattern, around=around), lambda x: kind.fits(x["match"]))
-    return F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(F.filter(F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>"), lambda x: F.lit(False))) if kind.hint else found
+    return F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(F.array().cast(f"array<{SPAN}>")) if kind.hint else found
 
 
 def near_terms(kind: Kind, x: Column) -> Column:
@@ -95,8 +94,9 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def few_terms(df: DataFrame, *names: str) -> DataFrame:
+    """df, a written table of strings and numbers, marked for broadcast if it is small."""
+    return few_bytes(df, sum((F.octet_length(x) for x in names), F.lit(32)))
 
 
 def disclosed(df: Column, both: Column, held: Column, n: int, support: int = SUPPORT) -> Column:
@@ -114,9 +114,9 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     held = counted.where("entity is not null and term is null").select("entity", F.col("both").alias("held")).where(2 * F.col("held") <= n)
     # a term stands in at least as many texts as beside entities: what that rules out needs no count in the corpus
     near = counted.where("entity is null").select("term", F.col("both").alias("near"))
-    pairs = counted.where("entity is not null and term is not null").join(few(held), "entity").join(few(near), "term")
+    pairs = counted.where("entity is not null and term is not null").join(few_terms(held, "entity"), "entity").join(few_terms(near, "term"), "term")
     pairs = written(pairs.where(disclosed(F.col("near"), F.col("both"), F.col("held"), n, support) >= generalise).drop("near"))
-    wanted = few(written(pairs.select("term").distinct()))
+    wanted = few_terms(written(pairs.select("term").distinct()), "term")
     df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     disclosure = disclosed(F.col("df"), F.col("both"), F.col("held"), n, support)
     told = pairs.join(df, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
@@ -125,34 +125,30 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
 
 
 def found(docs: DataFrame, disclosing: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """docs with entities and terms, arrays of (order, kind, start, end[, by]); rows, columns and texts as they are."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    small = few(disclosing)
-    held = docs.where("text is not null").select(F.xxhash64("text").alias("_text_key"), F.explode(terms_of(F.col("text"))).alias("term")).join(small, "term")
+    """row (docs' columns), entities and terms, arrays of (order, kind, start, end[, by]); a row a row of docs."""
     by = F.when(F.col("disclosure") >= remove, F.lit("")).otherwise(F.concat(F.lit("["), "kind", F.lit(" holder]")))
-    held = written(held.groupBy("_text_key").agg(F.collect_set(F.struct("term", by.alias("by"))).alias("_held")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("_text_key", key).join(few(held), "_text_key", "left")
-    base = F.concat(*[named(entities(text, kind), kind.name, i) for i, kind in enumerate(KINDS)])
-    joined = joined.withColumn("_entities", base)
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("_held", lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))
-    free = lambda x: ~F.exists("_entities", lambda e: (e["start"] < x["end"]) & (x["start"] < e["end"]))
-    terms = F.transform(F.filter(matches(text, pattern), free), lambda x: F.struct(
+    told = docs.where("text is not null").select(F.xxhash64("text").alias("key"), F.explode(terms_of(F.col("text"))).alias("term")).join(few_terms(disclosing, "term"), "term")
+    held = written(told.groupBy("key").agg(F.collect_set(F.struct("term", by.alias("by"))).alias("held")))
+    held = few_bytes(held, F.aggregate("held", F.lit(32), lambda n, x: n + F.octet_length(x["term"]) + 48))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    joined = packed(docs).withColumn("key", F.xxhash64(text)).join(held, "key", "left")
+    joined = joined.withColumn("entities", F.concat(*[named(entities(text, kind), kind.name, i) for i, kind in enumerate(KINDS)]))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("held", lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))
+    terms = let(F.map_from_entries("held"), lambda held_by: F.transform(matches(blanked(text, F.col("entities")), pattern), lambda x: F.struct(
         F.lit(len(KINDS)).alias("order"), F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-        F.coalesce(F.element_at(F.map_from_entries("_held"), F.lower(x["match"])), F.lit("")).alias("by")))
+        F.coalesce(F.element_at(held_by, F.lower(x["match"])), F.lit("")).alias("by"))))
     none = F.array().cast("array<struct<order:int,kind:string,start:int,end:int,by:string>>")
-    return joined.withColumn("_terms", F.when(F.col("_held").isNotNull(), terms).otherwise(none))
+    return joined.select("row", "entities", F.when(F.col("held").isNotNull(), terms).otherwise(none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, disclosing: DataFrame | None = None) -> DataFrame:
     """docs with entities replaced by their kind and disclosing terms generalised or removed in text."""
     disclosing = disclosing_terms(docs) if disclosing is None else disclosing
-    rows = found(docs, disclosing)
-    spans = F.concat(F.transform("_entities", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), x["kind"], F.lit("]")).alias("by"))),
-                     F.transform("_terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["by"].alias("by"))))
-    rows = rows.withColumn("_spans", spans)
-    text = F.when(F.col("text").isNotNull(), replaced(F.coalesce(F.col("text"), F.lit("")), F.col("_spans"), lambda x: x["by"]))
-    return rows.withColumn("text", text).select(docs.columns)
+    span = lambda x, by: F.struct(x["start"].alias("start"), x["end"].alias("end"), by.alias("by"))
+    spans = F.concat(F.transform("entities", lambda x: span(x, F.concat(F.lit("["), x["kind"], F.lit("]")))), F.transform("terms", lambda x: span(x, x["by"])))
+    rows = found(docs, disclosing).select("row", spans.alias("spans"))
+    text = F.when(F.col("row.text").isNotNull(), replaced(F.coalesce(F.col("row.text"), F.lit("")), F.col("spans")))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,4 +161,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(*[count(k.name).alias(f"n_{k.name}") for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
                         F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"))
 
-    return rows.select("doc_id", F.inline(F.transform(F.array(F.struct(F.col("_entities").alias("entities"), F.col("_terms").alias("terms"))), digest)))  # spans are made once
+    return rows.select("row.doc_id", F.inline(F.transform(F.array(F.struct("entities", "terms")), digest)))  # spans are made once
