@@ -9,8 +9,9 @@ A text's key in the index is a hash of the text: equal texts share postings, and
 Postings are joined to the queries, which are as few as the rules, and reduced to one row a text before anything
 meets the texts again.
 
-Defined results: a null text is an empty one, without spans; repeated rows are treated one by one; an empty table
-gives an empty result; extra columns are ignored.
+Defined results: a null text is an empty one, without spans; repeated rows are treated one by one; spans that begin at
+one place are ordered by rule; an empty table gives an empty result; extra columns are kept by `found`, whatever their
+names; a text of any length takes time in proportion to it and its matches.
 """
 
 from __future__ import annotations
@@ -24,11 +25,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table, written
-from trawl.llm.spans import listed, matches
+from trawl.llm.common import few, packed, table, written
+from trawl.llm.spans import let, listed, matches
 
-#: Rows up to which the candidates are broadcast to the scan of the texts; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 #: Strings up to which a part of an expression is spelled out.
 SPELLED = 64
 
@@ -66,7 +65,7 @@ MORE = (
     Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_password", r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("url_password", r"[a-z][a-z0-9+]{1,9}://[^\s:/@]++:[^\s:/@]++@"),
 )
 
 Query = frozenset[frozenset[str]]  # a disjunction of conjunctions; with an empty conjunction it holds for all texts
@@ -153,14 +152,8 @@ def trigram_query(pattern: str) -> Query:
 
 
 def index(docs: DataFrame, trigrams: Iterable[str]) -> DataFrame:
-    """Postings (trigram, text_key) of the trigrams."""
-    by_first: dict[str, list[str]] = {}
-    for t in sorted(trigrams):
-        by_first.setdefault(t[0], []).append(t[1:])
-    quoted = lambda x: r"\Q" + x + r"\E"
-    # one pass: at each place, the trigram that begins there, if it is one of them
-    ahead = "(?=(" + "|".join(quoted(a) + "(?:" + "|".join(map(quoted, rest)) + ")" for a, rest in by_first.items()) + "))"
-    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ahead), F.lit(1)))
+    """Postings (trigram, text_key) of the trigrams: a row for each of them that a text holds."""
+    held = let(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(trigrams)])))
     return docs.where("text is not null").select(F.explode(held).alias("trigram"), F.xxhash64("text").alias("text_key"))
 
 
@@ -179,21 +172,19 @@ def candidates(postings: DataFrame, queries: dict[int, Query]) -> DataFrame:
 
 
 def found(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with _spans: an array of (start, order, kind, end) of all rules, by start."""
+    """row (docs' columns) and spans, an array of (start, order, kind, end) of all rules, by start."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ALL and frozenset() not in q}
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("_rules", F.lit(0).cast("long"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    joined = packed(docs).withColumn("rules", F.lit(0).cast("long"))
     if queries:
-        chosen = written(candidates(index(docs, {t for q in queries.values() for c in q for t in c}), queries))
-        if chosen.count() <= BROADCAST_ROWS:
-            chosen = F.broadcast(chosen)
-        joined = docs.withColumn("_text_key", F.xxhash64(text)).join(chosen.select(F.col("text_key").alias("_text_key"), F.col("rules").alias("_rules")), "_text_key", "left")
-    always = [F.transform(F.array(r.column(i)), lambda rule: spans_of(text, rule))[0] for i, r in enumerate(rules) if i not in queries]
+        chosen = few(written(candidates(index(docs, {t for q in queries.values() for c in q for t in c}), queries)), 16)
+        joined = packed(docs).withColumn("text_key", F.xxhash64(text)).join(chosen, "text_key", "left")
+    always = [let(r.column(i), lambda rule: spans_of(text, rule)) for i, r in enumerate(rules) if i not in queries]
     asked = F.array(*[r.column(i) for i, r in enumerate(rules) if i in queries]) if queries else None
     if asked is not None:
-        mask = F.coalesce(F.col("_rules"), F.lit(0))
+        mask = F.coalesce(F.col("rules"), F.lit(0))
         always.append(F.flatten(F.transform(F.filter(asked, lambda rule: mask.bitwiseAND(rule["bit"]) != 0), lambda rule: spans_of(text, rule))))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*always)))
+    return joined.select("row", F.array_sort(F.concat(*always)).alias("spans"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,11 +195,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = listed(F.filter(spans, lambda x: x["order"] < len(BASE)))
         return F.struct(*[count(r.name).alias(f"n_{r.name}") for r in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
-    return rows.select("doc_id", F.inline(F.transform(F.array("_spans"), digest)))  # spans are made once
+    return rows.select("row.doc_id", F.inline(F.transform(F.array("spans"), digest)))  # spans are made once
 
 
 def _sql_rule(order: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")
+    pattern = rule.pattern.replace("(?<![0-9a-f])", "").replace("++", "+").replace("'", "''")
     size = f"len(regexp_extract(m[i], '{pattern}', {rule.of}))" if rule.of else "len(m[i])"
     return (f"SELECT doc_id, {order} AS o, '{rule.name}' AS kind, CAST(list_sum(list_transform(s[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS a, len(m[i]) AS n "
             f"FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM documents)) WHERE {size} >= {rule.least}")
