@@ -4,12 +4,13 @@ Statistics of the text are Spark columns. Shallow trees are grown on bootstrap s
 from a root is a rule, a conjunction of comparisons of statistics. A lasso logistic fit keeps few of the rules, and
 these, with their weights, are compiled into one column expression, so scoring runs in the JVM within the scan.
 
-The fit uses at most SAMPLE labelled rows, those with the least hash of the id; trees and weights are fitted on the
-driver, whose work is bounded by SAMPLE, TREES and MOST_RULES.
+The fit uses at most SAMPLE labelled rows, those with the least hash of the id; of several texts of one id it takes the
+first. Trees and weights are fitted on the driver, whose work is bounded by SAMPLE, TREES and MOST_RULES.
 
 Defined results: a null text is scored as an empty one, whose statistics are all 0; without labels every score is
 0.5, and with one class only it is that class's smoothed share; several labels of a document are all learned from;
-repeated documents are scored one by one; an empty table gives an empty result; extra columns are ignored.
+repeated documents are scored one by one; an empty table gives an empty result; extra columns are ignored; a text of
+any length is read whole.
 """
 
 from __future__ import annotations
@@ -153,9 +154,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.quality, from at most sample labelled rows that aren't held out."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    chosen = written(chosen.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "quality").limit(sample))
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most sample rows
-    rows = rows.select("doc_id", "quality", *[f"stat_{k}" for k in STATISTICS]).limit(2 * sample).toPandas()
+    chosen = written(chosen.distinct().orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "quality").limit(sample))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows
+    rows = with_statistics(texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+    rows = rows.select("doc_id", "quality", *[f"stat_{k}" for k in STATISTICS]).toPandas()  # a row a chosen one, at most
     rows = rows.sort_values(list(rows.columns))
     return fit_rules(rows[[f"stat_{k}" for k in STATISTICS]].to_numpy(float).reshape(-1, len(STATISTICS)), (rows["quality"] == 1).to_numpy(float))
 
