@@ -89,7 +89,7 @@ def test_densification_is_shared():
 
 def test_pii_edges(spark, odd, none):
     rows = pii.found(odd, pii.disclosing_terms(odd)).collect()
-    assert len(rows) == 10 and {r.doc_id: [e.kind for e in r._entities] for r in rows}[8] == ["email", "phone"]
+    assert len(rows) == 10 and {r.row.doc_id: [e.kind for e in r.entities] for r in rows}[8] == ["email", "phone"]
     clean = {r.doc_id: r.text for r in pii.sanitised(odd).collect()}
     assert clean[8] == "mail me [email] or [phone] " and clean[1] is None and clean[2] == ""
     assert pii.sanitised(odd).columns == odd.columns and pii.sanitised(none).count() == 0
@@ -130,7 +130,7 @@ def test_pii_rare_entities(spark):
 def test_secret_edges(spark, odd, none):
     assert secrets.found(odd).count() == 10 and secrets.found(none).count() == 0
     more = table(spark, [(1, "token: password: abcdefghijklmnop Secret='AbCdEf0123456789'", "en", "a"), (2, "ghp_" + "Z1" * 20 + " -----BEGIN RSA PRIVATE KEY-----", "en", "a")])
-    rows = {r.doc_id: [s.kind for s in r._spans] for r in secrets.found(more).collect()}
+    rows = {r.row.doc_id: [s.kind for s in r.spans] for r in secrets.found(more).collect()}
     assert rows == {1: ["assign"], 2: ["github", "private_key"]}
 
 
@@ -144,7 +144,7 @@ def test_trigram_queries(pattern, query):
 
 def test_secret_index_loses_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    indexed = {r.doc_id: [tuple(s) for s in r._spans] for r in secrets.found(docs).collect()}
+    indexed = {r.row.doc_id: [tuple(s) for s in r.spans] for r in secrets.found(docs).collect()}
     import re
     for r in docs.collect():
         plain = sorted((m.start(), i, rule.name, m.end()) for i, rule in enumerate(secrets.BASE + secrets.MORE) for m in re.finditer(rule.pattern, r.text) if len(m[rule.of]) >= rule.least)
@@ -306,6 +306,8 @@ def test_chat_ties(spark, duck):
 
 
 def test_chat_long(spark):
-    rows = [(1, t, "user", str(t)) for t in range(600)] + [(2, t, "user", str(t)) for t in range(300)]
-    got = chat.chat_format(conversation(spark, rows)).orderBy("part").collect()
-    assert [(r.conv_id, r.part, r.n_turns) for r in got] == [(1, 0, 256), (1, 1, 256), (1, 2, 88)]
+    """A conversation of many blocks is one row."""
+    rows = [(1, t, "user", str(t)) for t in range(1000)] + [(2, t, "user", str(t)) for t in range(300)]
+    got = chat.chat_format(conversation(spark, rows)).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(1, 1000, 1)]
+    assert got[0].rendered == "".join(f"<|user|>\n{t}\n<|end|>\n" for t in range(1000))
