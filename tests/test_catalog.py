@@ -1,6 +1,6 @@
 import pytest
 
-from trawl.plans import catalog
+from trawl.plans import catalog, storage  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

@@ -16,6 +16,14 @@ def test_precedence_and_keywords():
     assert filters.parse("a IS NOT NULL") == Node(no=Comparison("a", "is_null"))
 
 
+def test_keys():
+    assert filters.parse("2fa = 1") == Comparison("2fa", "eq", 1) and filters.parse("007 IS NULL") == Comparison("007", "is_null")
+    assert filters.parse("a-b_c >= -2.5") == Comparison("a-b_c", "gte", -2.5)
+    for text in ("a.b = 1", "_a = 1", "-a = 1"):
+        with pytest.raises(FilterError):
+            filters.parse(text)
+
+
 @pytest.mark.parametrize("text", ["a =", "a = 1 garbage", "(a = 1", "= 1", "a ~ 1", "a = 1 AND", "a IS 3"])
 def test_errors(text):
     with pytest.raises(FilterError):

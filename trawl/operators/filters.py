@@ -20,7 +20,7 @@ from trawl.config import ConfigError
 OPS = {"=": "eq", "==": "eq", "!=": "neq", "<": "lt", "<=": "lte", ">": "gt", ">=": "gte"}
 TOKEN = re.compile(r"""\s*(?:
     (?P<string>"(?:[^"\\]|\\.)*") | (?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.]) |
-    (?P<op><=|>=|!=|==|=|<|>) | (?P<bracket>[()]) | (?P<word>[A-Za-z_][\w.-]*) )""", re.X)
+    (?P<op><=|>=|!=|==|=|<|>) | (?P<bracket>[()]) | (?P<word>[A-Za-z0-9][A-Za-z0-9_-]*)(?![\w.]) )""", re.X)
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ class _Parser:
                 raise FilterError("a bracket isn't closed in filter")
             return tree
         kind, key = self.take()
-        if kind != "word":
+        if kind != "word" and not (kind == "number" and key.isdigit()):  # a key may be digits alone
             raise FilterError(f"expected a key, found {key!r}")
         if self.word("IS"):
             negated = self.word("NOT")

@@ -48,10 +48,17 @@ def sparse_scores(posted: DataFrame, queries: DataFrame, n_docs: int | None = No
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), DIGITS).alias("score"))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, distance: str = "cosine") -> DataFrame:
-    """(query_id, id, score) of every query of a stated batch against every vector (id, embedding)."""
-    side = queries.select("query_id", F.col("embedding").alias("query_embedding"))
-    pairs = vectors.join(F.broadcast(side) if side.count() <= QUERY_ROWS // 100 else side, F.lit(True))
+def dense_scores(vectors: DataFrame, queries: DataFrame, distance: str = "cosine", block: int = 2000) -> DataFrame:
+    """(query_id, id, score) of every query of a stated batch against every vector (id, embedding).
+
+    Queries are dealt into blocks of bounded size, to each of which the vectors are joined by the block's number: one block is
+    broadcast, more are shuffled.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    side = queries.select("query_id", F.col("embedding").alias("query_embedding"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = vectors.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = dealt.join(F.broadcast(side) if blocks == 1 else side, "block")
     score = F.round(dense.similarity(F.col("embedding"), F.col("query_embedding"), distance), DIGITS)
     return pairs.select("query_id", "id", score.alias("score")).where("score is not null")
 
@@ -112,6 +119,40 @@ def grouped(fused: DataFrame, groups: DataFrame, group_max: int = 3, limit: int
     return ordered(capped, limit)
 
 
+def refetched(scores: dict[str, tuple[DataFrame, float]], groups: DataFrame, fusion: str = "rrf", group_max: int = 3, limit: int = 10, prefetch: int = 15, rounds: int = 2) -> DataFrame:
+    """Group caps in rounds of bounded prefetches: (query_id, id, score, tie, group_value, place).
+
+    scores: each arm's name to its (query_id, id, score) and weight. groups: (id, group_value). A round takes the best
+    `prefetch` of each arm that isn't in a group that is full, adds what an arm hasn't had to its list (ranks are places in that
+    list), and fuses all lists anew. A query is done once it has `limit` results, no group of it is full, or no arm had
+    `prefetch` candidates; the last round ends all. Nothing is collected: done queries just get no more candidates.
+    """
+    lists, full, done, kept = None, None, None, None
+    valued = reduce(DataFrame.unionByName, [s.select("query_id", "id", "score", F.lit(name).alias("arm"), F.lit(float(w)).alias("weight")) for name, (s, w) in scores.items()]).join(groups, "id", "left")
+    for number in range(rounds):
+        pool = valued
+        if full is not None:
+            blocked = full.select("query_id", F.col("group_value").alias("_full"))
+            pool = pool.join(blocked, (pool["query_id"] == blocked["query_id"]) & pool["group_value"].eqNullSafe(F.col("_full")), "left_anti").join(done, "query_id", "left_anti")
+        rank = F.row_number().over(Window.partitionBy("query_id", "arm").orderBy(F.desc("score"), "id"))
+        got = pool.withColumn("at", rank).where(F.col("at") <= prefetch).withColumn("round", F.lit(number))
+        fetched = got.groupBy("query_id", "arm").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.max("n").alias("most"))
+        if lists is not None:
+            got = got.join(lists.select("query_id", "arm", "id"), ["query_id", "arm", "id"], "left_anti")
+        lists = got if lists is None else lists.unionByName(got)
+        place = F.row_number().over(Window.partitionBy("query_id", "arm").orderBy("round", "at"))
+        fused = fuse(lists.withColumn("rank", place).select("query_id", "id", "arm", "weight", "score", "rank"), fusion, limit=None)
+        kept = grouped(fused.drop("place"), groups, group_max, limit)
+        if number + 1 < rounds:
+            counts = kept.groupBy("query_id", "group_value").agg(F.count("*").alias("n"))
+            full = counts.where(F.col("n") >= group_max).select("query_id", "group_value")
+            state = kept.groupBy("query_id").agg(F.count("*").alias("n")).join(full.select("query_id").distinct().withColumn("any_full", F.lit(True)), "query_id", "left").join(fetched, "query_id", "left")
+            over = (F.col("n") >= limit) | F.col("any_full").isNull() | (F.coalesce("most", F.lit(0)) < prefetch)
+            over_now = state.where(over).select("query_id")
+            done = over_now if done is None else done.union(over_now).distinct()
+    return kept
+
+
 def facet_counts(candidates: DataFrame, docs: DataFrame, fields: dict[str, str], most: int = 10) -> DataFrame:
     """(query_id, field, value, n): how many candidates of any arm have each value; the most frequent ones, then by value.
 
@@ -124,5 +165,17 @@ def facet_counts(candidates: DataFrame, docs: DataFrame, fields: dict[str, str],
     return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def facet_key(value: Column, kind: str) -> Column:
+def facet_key(value: Column, kind: str, declared: str | None = None) -> Column:
+    """How a value reads as a facet: whole numbers of an integer field, a point in each float, booleans in lower case.
+
+    declared: the field's declared type, where it differs from the column's.
+    """
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    if declared == "integer" and number:
+        return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("string")
+    if number and (declared == "float" or declared is None and kind in ("float", "double")):
+        value = value.cast("double")
+        plain = value.cast("decimal(38,18)").cast("string")  # never an exponent within the range in which both agree
+        short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+        return F.when((F.abs(value) < 1e16) & ((F.abs(value) >= 1e-4) | (value == 0)), F.when(value.cast("string").contains("E"), short).otherwise(value.cast("string"))).otherwise(F.regexp_replace(F.lower(value.cast("string")), r"\.0e", "e"))
     return F.lower(value.cast("string")) if kind == "boolean" else value.cast("string")

@@ -13,8 +13,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from trawl.config import CollectionConfig, ConfigError, MetadataIndex, VectorConfig
 from trawl.operators import documents
@@ -168,14 +169,43 @@ class Catalog:
 
 
 def export(docs: DataFrame, path: str) -> None:
-    docs.write.mode("errorifexists").option("ignoreNullFields", "true").json(path, compression="gzip")
+    stripped(docs).write.mode("errorifexists").option("ignoreNullFields", "true").json(path, compression="gzip")
 
 
-def stripped(value):
-    """A JSON value without nulls, at any depth."""
-    if isinstance(value, dict):
-        return {k: stripped(v) for k, v in value.items() if v is not None}
-    return [stripped(v) for v in value if v is not None] if isinstance(value, list) else value
+def without_nulls(value: Column, kind: DataType) -> Column:
+    """value without the nulls in its arrays and maps, at any depth; a struct's null fields go when it is written as JSON."""
+    if isinstance(kind, ArrayType):
+        return F.transform(F.filter(value, lambda x: x.isNotNull()), lambda x: without_nulls(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(F.map_filter(value, lambda k, v: v.isNotNull()), lambda k, v: without_nulls(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def stripped(docs: DataFrame) -> DataFrame:
+    """docs with nothing null within its columns."""
+    return docs.select(*[without_nulls(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in docs.schema.fields])
+
+
+def json_rows(docs: DataFrame) -> DataFrame:
+    """(json) of each row, without nulls at any depth."""
+    return stripped(docs).select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("json"))
+
+
+def export_array(docs: DataFrame, path: str, by: str = "id") -> None:
+    """The documents by id as one JSON array, in gzip parts that, one after the other in the order of their names, are one file.
+
+    Sorted and written by all executors: gzip files may be joined as they are.
+    """
+    first = docs.agg(F.min(by)).first()[0]
+    rows = stripped(docs).select(F.col(by).alias("_by"), F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("json"))
+    number = F.row_number().over(Window.partitionBy("_by").orderBy("json"))
+    head = rows.where(F.col("_by").isNull() | (F.col("_by") == F.lit(first))).withColumn("_first", (F.col("_by").isNotNull()) & (number == 1))
+    rest = rows.where(F.col("_by") > F.lit(first)).withColumn("_first", F.lit(False))
+    lines = head.unionByName(rest).orderBy(F.desc("_first"), F.col("_by").asc_nulls_last(), "json").select(F.concat(F.when(F.col("_first"), "[").otherwise(","), "json").alias("value"))
+    ends = docs.sparkSession.createDataFrame([("]",)] if first is not None else [("[",), ("]",)], "value string").coalesce(1)
+    lines.union(ends).write.mode("errorifexists").option("compression", "gzip").text(path)
 
 
 def versions() -> dict[str, str]:

@@ -57,6 +57,63 @@ def cancelled_by_delete(queue: DataFrame, deletes: DataFrame) -> DataFrame:
     return queue.join(gone, "queue_id", "left_anti")
 
 
+def cleared(queue: DataFrame, which: Column) -> DataFrame:
+    """The queue without the entries for which a condition holds; one that is unknown keeps its entry."""
+    return queue.where(~F.coalesce(which, F.lit(False)))
+
+
+def looked_up(queue: DataFrame, wanted: DataFrame, missing_ok: bool = True) -> DataFrame:
+    """The entries of wanted (queue_id), once each; with missing_ok=False an id that isn't queued is an error."""
+    wanted = wanted.select("queue_id").distinct()
+    if missing_ok:
+        return queue.join(wanted, "queue_id", "left_semi")
+    found = wanted.join(queue.withColumn("_there", F.lit(True)), "queue_id", "left")
+    error = F.raise_error(F.concat(F.lit("not queued: "), F.col("queue_id").cast("string")))
+    return found.where(F.when(F.col("_there").isNull(), error.cast("boolean")).otherwise(F.lit(True))).select(queue.columns)
+
+
+def with_status(queue: DataFrame, updates: DataFrame, status: str, info: str, now: Column) -> DataFrame:
+    """The queue after entries were given a status. updates: (queue_id, try_count); of several for one entry the largest count holds."""
+    new = updates.groupBy("queue_id").agg(F.max("try_count").alias("_tries"))
+    joined, hit = queue.join(new, "queue_id", "left"), F.col("_tries").isNotNull()
+    changed = {"status": F.lit(status), "info": F.lit(info), "ts": now, "try_count": F.col("_tries")}
+    kinds = dict(queue.dtypes)
+    return joined.select(*[F.when(hit, changed[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in queue.columns])
+
+
+def acknowledged(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue without entries that were worked on. done: (queue_id)."""
+    return queue.join(done.select("queue_id").distinct(), "queue_id", "left_anti")
+
+
+def reverified(claimed: DataFrame, queue: DataFrame, collections: DataFrame) -> DataFrame:
+    """The claimed entries that are still queued, for a collection that is still the one they were made for.
+
+    collections: (collection_name, collection_id) as they are now.
+    """
+    pending = queue.where("status in ('queued', 'requeued')").select("queue_id")
+    return claimed.join(pending, "queue_id", "left_semi").join(collections, ["collection_name", "collection_id"], "left_semi")
+
+
+def idle_wait(empty_polls: Column, first: float = 1.0, most: float = 16.0) -> Column:
+    """Seconds to wait after so many polls in a row that found nothing: doubling."""
+    return F.when(empty_polls <= 0, 0.0).otherwise(F.least(first * F.pow(F.lit(2.0), empty_polls - 1), F.lit(most)))
+
+
+def updated_averages(stats: DataFrame, updates: DataFrame) -> DataFrame:
+    """(slot, doc_count, avgdl) after a batch of documents, from the running averages alone.
+
+    stats: (slot, doc_count, avgdl). updates: rows (slot, new_docs, old_length, new_length, updated_length), token lengths
+    that go, that come with new documents and that replace the old ones; summed by slot. No documents left: 0.
+    """
+    sums = updates.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("new_docs", "old_length", "new_length", "updated_length")])
+    joined = stats.join(sums, "slot", "full")
+    had, avg = F.coalesce("doc_count", F.lit(0)), F.coalesce("avgdl", F.lit(0.0))
+    n = had + F.coalesce("new_docs", F.lit(0))
+    total = avg * had - F.coalesce("old_length", F.lit(0)) + F.coalesce("new_length", F.lit(0)) + F.coalesce("updated_length", F.lit(0))
+    return joined.select("slot", F.greatest(n, F.lit(0)).alias("doc_count"), F.when(n > 0, total / n).otherwise(0.0).alias("avgdl"))
+
+
 def queue_info(queue: DataFrame) -> DataFrame:
     """Counts of queued, requeued and failed entries by operation, and in all."""
     counts = {f"{s}_{o}": F.count_if((F.col("status") == s) & (F.col("op") == o)) for s in ("queued", "requeued", "failed") for o in ("upsert", "delete")}

@@ -5,7 +5,7 @@ Events have key, dims, ts and value; a key is either summed or averaged, and ave
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETENTION = "24 hours"
@@ -66,6 +66,24 @@ def five_minute_stream(minutes: DataFrame, keys: list[str]) -> DataFrame:
     return minutes.groupBy(F.window(F.window_time("window"), "5 minutes"), *keys).agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
 
 
+def buffered(events: DataFrame, capacity: int = 100_000, seconds: int = 5, ts: str = "ts", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(events' columns, kept): what a buffer that is drained every so many seconds takes; what comes when it is full is dropped."""
+    arrived = F.row_number().over(Window.partitionBy(bucket_start(F.col(ts), seconds)).orderBy(*order))
+    return events.withColumn("kept", arrived <= capacity)
+
+
+def overflow_warnings(events: DataFrame, seconds: int = 5, ts: str = "ts") -> DataFrame:
+    """(bucket_start, dropped) of `buffered` events: one row where dropping began, not one a bucket that goes on dropping."""
+    counts = events.groupBy(bucket_start(F.col(ts), seconds).alias("bucket_start")).agg(F.count_if(~F.col("kept")).alias("dropped"))
+    before = counts.select((F.col("bucket_start") + seconds).alias("bucket_start"), F.col("dropped").alias("_before"))
+    return counts.join(before, "bucket_start", "left").where((F.col("dropped") > 0) & (F.coalesce("_before", F.lit(0)) == 0)).drop("_before")
+
+
+def live(fine: DataFrame, now: Column, window: int = 60) -> DataFrame:
+    """The fine buckets that a sliding window still needs; series without any are forgotten with them."""
+    return fine.where(F.col("bucket_start") >= now - window - F.col("bucket_seconds"))
+
+
 def deduplicated_sink(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Bucket rows after an idempotent upsert: a bucket written again replaces itself."""
     names = [*keys, "bucket_start", "bucket_seconds"]
