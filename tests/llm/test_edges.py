@@ -178,6 +178,15 @@ def test_language_edges(spark, odd, none):
     assert langid.predict(none, model).count() == 0 and langid.accepted(odd, model).columns == odd.columns
 
 
+def test_language_rejects_long_noise(spark):
+    rng = random.Random(1)
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for n in (200, 2000, 20_000):
+        assert model.predict("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)))[2]
+    finnish = "Tämä on lyhyt suomenkielinen lause josta pitäisi tunnistaa kieli "
+    assert model.predict(finnish * 40)[2] and not model.predict("the of and that with")[2]
+
+
 def test_grams_ignore_blocks(monkeypatch):
     text = "some words in a row " * 50
     whole = langid.grams(text)
@@ -262,7 +271,7 @@ def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 0.0]), (5, [inf, 1.0]), (6, [1.0]), (7, []), (8, [None, 1.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (9, [-1.0, 0.5]), (9, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.top_k(df, 3, is_query=F.col("id") % 50 == 0, candidate_block=3, query_block=1).orderBy("query_id", "rank").collect()
+    got = topk.top_k(df, 3, is_query=F.col("id") % 50 == 0, candidate_block=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 2), (0, 50), (50, 0), (50, 1), (50, 2)]
     assert topk.top_k(df.where("false"), 3, is_query=F.col("id") == 0).count() == 0
     all_of = topk.top_k(df, 9, is_query=F.col("id") == 0).collect()

@@ -4,8 +4,8 @@ A text becomes a vector of its letter n-grams (one to three characters, words ma
 a fixed number of places, weighted by TF-IDF and normalised. Each language's training vectors are clustered by
 spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine, of equal
 ones that of the first by name. It is rejected if that cosine is below NEAR times the LOW quantile of the cosines that
-training texts of the language have in its band of lengths (of all languages, where the language has under FULL there;
-where all have under FULL, FAR times the least): short texts have lower cosines than long ones, and one odd training
+training texts of the language have in its band of lengths (POOLED times that of all languages, where the language has under
+FULL there; where all have under FULL, FAR times the least): short texts have lower cosines than long ones, and one odd training
 text sets no threshold for all.
 
 The model is fitted on a sample of about SAMPLE rows, dealt evenly over the LANGUAGES most frequent languages (ties by
@@ -34,7 +34,7 @@ from trawl.llm.common import fresh, held_out, table
 PLACES = 4096
 CENTROIDS = 4
 SAMPLE, LANGUAGES, LEAST = 3000, 200, 16
-NEAR, LOW, FULL, FAR = 0.65, 0.01, 50, 0.4
+NEAR, POOLED, FAR, LOW, FULL = 0.6, 0.5, 0.4, 0.01, 50
 #: Numbers of n-grams at which the bands of lengths begin.
 BANDS = (0, 1 << 6, 1 << 8, 1 << 10)
 BLOCK = 1 << 20
@@ -140,16 +140,16 @@ def fit_vectors(languages: list[str], counts: np.ndarray, per_language: int = CE
         names += [language] * len(c)
         centroids += list(c)
 
-    def low(rows: np.ndarray) -> float:
-        if rows.sum() >= FULL:
-            return NEAR * float(np.quantile(cosine[rows], LOW))
-        return FAR * float(cosine[rows].min()) if rows.any() else 0.0
+    def low(own: np.ndarray, every: np.ndarray) -> float:
+        for rows, factor in ((own, NEAR), (every, POOLED)):
+            if rows.sum() >= FULL:
+                return factor * float(np.quantile(cosine[rows], LOW))
+        return FAR * float(cosine[every].min()) if every.any() else 0.0
 
     least = np.zeros((len(names), len(BANDS)))
     for i, language in enumerate(names):
         for k in range(len(BANDS)):
-            own = (bands == k) & (languages == language)
-            least[i, k] = low(own if own.sum() >= FULL else bands == k)
+            least[i, k] = low((bands == k) & (languages == language), bands == k)
     return Model(tuple(names), np.array(centroids, np.float32).reshape(-1, PLACES), least, idf)
 
 
