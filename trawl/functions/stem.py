@@ -1,4 +1,6 @@
-"""Stemming by the published Snowball algorithms for English, German, French and Spanish; other languages keep their words.
+"""Stemming by the published Snowball algorithms for English, German, French, Spanish, Swedish, Norwegian, Danish and Russian.
+
+Other languages keep their words.
 
 Words of letters only are stemmed; each distinct word of a batch is stemmed once.
 """
@@ -334,7 +336,106 @@ def french(word: str) -> str:
     return w.lower()
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french}
+# Swedish, Norwegian, Danish: endings in the region after the first three letters at least
+
+_SV_1 = _by_length(*"a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast s".split())
+_NO_1 = _by_length(*"a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast erte ert s".split())
+_NO_3 = _by_length(*"leg eleg ig eig lig elig els lov elov slov hetslov".split())
+_DA_1 = _by_length(*"hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret s".split())
+_DA_V = _NO_V = "aeiouyæåø"
+_SV_V = "aeiouyäåö"
+
+
+def _late_region(word: str, vowels: str) -> int:
+    return max(_region(word, vowels), 3)
+
+
+def swedish(word: str) -> str:
+    w, r1 = word, _late_region(word, _SV_V)
+    e = _longest(w, _SV_1, r1)
+    if e and (e != "s" or w[-2:-1] in tuple("bcdfghjklmnoprtvy")):
+        w = w[:-len(e)]
+    if _longest(w, ("dd", "gd", "nn", "dt", "gt", "kt", "tt"), r1):
+        w = w[:-1]
+    e = _longest(w, ("fullt", "löst", "lig", "els", "ig"), r1)
+    return w[:-1] if e in ("fullt", "löst") else w[:len(w) - len(e)]
+
+
+def norwegian(word: str) -> str:
+    w, r1 = word, _late_region(word, _NO_V)
+    e = _longest(w, _NO_1, r1)
+    if e in ("erte", "ert"):
+        w = w[:-len(e)] + "er"
+    elif e == "s":
+        w = w[:-1] if w[-2:-1] in tuple("bcdfghjlmnoprtvyz") or w[-2:-1] == "k" and w[-3:-2] not in _NO_V else w
+    elif e:
+        w = w[:-len(e)]
+    if _longest(w, ("dt", "vt"), r1):
+        w = w[:-1]
+    return w[:len(w) - len(_longest(w, _NO_3, r1))]
+
+
+def danish(word: str) -> str:
+    w, r1 = word, _late_region(word, _DA_V)
+    e = _longest(w, _DA_1, r1)
+    if e and (e != "s" or w[-2:-1] in tuple("abcdfghjklmnoprtvyzå")):
+        w = w[:-len(e)]
+
+    def short(w: str) -> str:
+        return w[:-1] if _longest(w, ("gd", "dt", "gt", "kt"), r1) else w
+
+    w = short(w)
+    w = w[:-2] if w.endswith("igst") else w
+    e = _longest(w, ("løst", "elig", "lig", "els", "ig"), r1)
+    w = w[:-1] if e == "løst" else short(w[:-len(e)]) if e else w
+    return w[:-1] if len(w) > r1 and w[-1] not in _DA_V and w[-2:-1] == w[-1] else w
+
+
+# Russian
+
+_RU_V = "аеиоуыэюя"
+_RU_AFTER_A = {"gerund": ("в", "вши", "вшись"), "participle": ("ем", "нн", "вш", "ющ", "щ"), "verb": tuple("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split())}
+_RU_FREE = {"gerund": ("ив", "ивши", "ившись", "ыв", "ывши", "ывшись"), "participle": ("ивш", "ывш", "ующ"),
+            "verb": tuple("ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split())}
+_RU_ENDINGS = {k: _by_length(*_RU_AFTER_A[k], *_RU_FREE[k]) for k in _RU_FREE}
+_RU_ADJECTIVE = _by_length(*"ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split())
+_RU_NOUN = _by_length(*"а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split())
+
+
+def russian(word: str) -> str:
+    w, r1 = word, _region(word, _RU_V)
+    r2 = _region(w, _RU_V, r1)
+    rv = next((i + 1 for i, c in enumerate(w) if c in _RU_V), len(w))
+
+    def without(w: str, kind: str) -> str | None:
+        """w without its longest ending of a kind; None if there is none, or what it must follow doesn't stand before it."""
+        e = _longest(w, _RU_ENDINGS[kind], rv)
+        if not e or e in _RU_AFTER_A[kind] and not (len(w) - len(e) > rv and w[-len(e) - 1] in "ая"):
+            return None
+        return w[:-len(e)]
+
+    done = without(w, "gerund")
+    if done is None:
+        w = w[:len(w) - len(_longest(w, ("ся", "сь"), rv))]
+        if e := _longest(w, _RU_ADJECTIVE, rv):
+            w = w[:-len(e)]
+            done = without(w, "participle")
+            done = w if done is None else done
+        else:
+            done = without(w, "verb")
+            done = w[:len(w) - len(_longest(w, _RU_NOUN, rv))] if done is None else done
+    w = done
+    w = w[:len(w) - len(_longest(w, ("и",), rv))]
+    w = w[:len(w) - len(_longest(w, ("ость", "ост"), max(r2, rv)))]
+    if e := _longest(w, ("ейше", "ейш"), rv):
+        w = w[:-len(e)]
+        return w[:-1] if _longest(w, ("нн",), rv) else w
+    if _longest(w, ("нн", "ь"), rv):
+        w = w[:-1]
+    return w
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "sv": swedish, "no": norwegian, "da": danish, "ru": russian}
 
 
 @lru_cache(maxsize=50_000)
