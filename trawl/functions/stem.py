@@ -1,4 +1,5 @@
-"""Stemming by the published Snowball algorithms for English, German, French, Spanish, Swedish, Norwegian, Danish and Russian.
+"""Stemming by the published Snowball algorithms for English, German, French, Spanish, Portuguese, Italian, Dutch, Swedish,
+Norwegian, Danish and Russian.
 
 Other languages keep their words.
 
@@ -435,7 +436,169 @@ def russian(word: str) -> str:
     return w
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "sv": swedish, "no": norwegian, "da": danish, "ru": russian}
+# Portuguese
+
+_PT_V = "aeiouáéíóúâêô"
+_PT_PLAIN = _by_length(*"eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância".split())
+_PT_OTHER = ("logia", "logias", "uça~o", "uço~es", "ência", "ências", "amente", "mente", "idade", "idades", "iva", "ivo", "ivas", "ivos", "ira", "iras")
+_PT_1 = _by_length(*_PT_PLAIN, *_PT_OTHER)
+_PT_2 = _by_length(*"""ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem irem assem essem issem
+    ado ido ando endo indo ara~o era~o ira~o ar er ir as adas idas ias arias erias irias arás aras erás eras irás avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis íeis
+    aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis ados idos ámos amos íamos aríamos eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos
+    êssemos íssemos imos armos ermos irmos eu iu ou ira iras""".split())
+
+
+def _without(w: str, endings: tuple[str, ...], start: int) -> str:
+    return w[:len(w) - len(_longest(w, endings, start))]
+
+
+def portuguese(word: str) -> str:
+    w = word.replace("ã", "a~").replace("õ", "o~")
+    rv, r1 = _rv(w, _PT_V), _region(w, _PT_V)
+    r2 = _region(w, _PT_V, r1)
+    start, e = w, _longest(w, _PT_1)
+    at = len(w) - len(e)
+    if e in _PT_PLAIN and at >= r2:
+        w = w[:at]
+    elif e in ("logia", "logias") and at >= r2:
+        w = w[:at] + "log"
+    elif e in ("uça~o", "uço~es") and at >= r2:
+        w = w[:at] + "u"
+    elif e in ("ência", "ências") and at >= r2:
+        w = w[:at] + "ente"
+    elif e == "amente" and at >= r1:
+        w = w[:at]
+        w = _without(w[:-2], ("at",), r2) if _longest(w, ("iv",), r2) else _without(w, ("os", "ic", "ad"), r2)
+    elif e == "mente" and at >= r2:
+        w = _without(w[:at], ("ante", "avel", "ível"), r2)
+    elif e in ("idade", "idades") and at >= r2:
+        w = _without(w[:at], ("abil", "ic", "iv"), r2)
+    elif e in ("iva", "ivo", "ivas", "ivos") and at >= r2:
+        w = _without(w[:at], ("at",), r2)
+    elif e in ("ira", "iras") and at >= rv and w[at - 1:at] == "e":
+        w = w[:at] + "ir"
+    if w == start:
+        w = _without(w, _PT_2, rv)
+    if w != start:
+        w = w[:-1] if w.endswith("ci") and len(w) - 1 >= rv else w
+    else:
+        w = _without(w, ("os", "a", "i", "o", "á", "í", "ó"), rv)
+    if _longest(w, ("e", "é", "ê"), rv):
+        w = w[:-1]
+        w = w[:-1] if w.endswith(("gu", "ci")) and len(w) - 1 >= rv else w
+    elif w.endswith("ç"):
+        w = w[:-1] + "c"
+    return w.replace("a~", "ã").replace("o~", "õ")
+
+
+# Italian
+
+_IT_V = "aeiouàèìòù"
+_IT_PRONOUNS = _by_length(*"ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split())
+_IT_PLAIN = _by_length(*"anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti".split())
+_IT_1 = _by_length(*_IT_PLAIN, *"azione azioni atore atori logia logie uzione uzioni usione usioni enza enze amento amenti imento imenti amente ità ivo ivi iva ive".split())
+_IT_2 = _by_length(*"""ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete erò erono
+    essero ete eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero ita ite iti ito iva ivamo ivano ivate
+    ivi ivo ono uta ute uti uto ar ir""".split())
+
+
+def italian(word: str) -> str:
+    w = word.translate(str.maketrans("áéíóú", "àèìòù")).replace("qu", "qU")
+    w = re.sub(f"(?<=[{_IT_V}])[ui](?=[{_IT_V}])", lambda m: m[0].upper(), w)
+    rv, r1 = _rv(w, _IT_V), _region(w, _IT_V)
+    r2 = _region(w, _IT_V, r1)
+    if e := _longest(w, _IT_PRONOUNS):
+        base = w[:-len(e)]
+        before = _longest(base, ("ando", "endo", "ar", "er", "ir"), rv)
+        w = base if before in ("ando", "endo") else base + "e" if before else w
+    start, e = w, _longest(w, _IT_1)
+    at = len(w) - len(e)
+    if e in ("amento", "amenti", "imento", "imenti"):
+        w = w[:at] if at >= rv else w
+    elif e == "amente":
+        if at >= r1:
+            w = w[:at]
+            w = _without(w[:-2], ("at",), r2) if _longest(w, ("iv",), r2) else _without(w, ("abil", "os", "ic"), r2)
+    elif e and at >= r2:
+        if e in ("azione", "azioni", "atore", "atori"):
+            w = _without(w[:at], ("ic",), r2)
+        elif e in ("logia", "logie"):
+            w = w[:at] + "log"
+        elif e in ("uzione", "uzioni", "usione", "usioni"):
+            w = w[:at] + "u"
+        elif e in ("enza", "enze"):
+            w = w[:at] + "ente"
+        elif e == "ità":
+            w = _without(w[:at], ("abil", "ic", "iv"), r2)
+        elif e in ("ivo", "ivi", "iva", "ive"):
+            w = w[:at]
+            w = _without(w[:-2], ("ic",), r2) if _longest(w, ("at",), r2) else w
+        else:
+            w = w[:at]
+    if w == start:
+        w = _without(w, _IT_2, rv)
+    if _longest(w, tuple("aeioàèìò"), rv):
+        w = _without(w[:-1], ("i",), rv)
+    if _longest(w, ("ch", "gh"), rv):
+        w = w[:-1]
+    return w.replace("U", "u").replace("I", "i")
+
+
+# Dutch
+
+_NL_V = "aeiouyè"
+
+
+def dutch(word: str) -> str:
+    w = word.translate(str.maketrans("äëïöüáéíóú", "aeiouaeiou"))
+    w = re.sub(f"^y|(?<=[{_NL_V}])y", "Y", w)
+    w = re.sub(f"(?<=[{_NL_V}])i(?=[{_NL_V}])", "I", w)
+    r1 = _region(w, _NL_V)
+    r2 = _region(w, _NL_V, r1)
+    r1 = max(r1, 3)
+
+    def single(w: str) -> str:
+        return w[:-1] if w.endswith(("kk", "dd", "tt")) else w
+
+    def without_en(w: str, e: str) -> str:
+        at = len(w) - len(e)
+        return single(w[:at]) if at >= r1 and w[at - 1:at] not in _NL_V and not w[:at].endswith("gem") else w
+
+    def without_e(w: str) -> tuple[str, bool]:
+        if w.endswith("e") and len(w) - 1 >= r1 and w[-2:-1] not in _NL_V:
+            return single(w[:-1]), True
+        return w, False
+
+    e = _longest(w, ("heden", "ene", "en", "se", "s"))
+    at = len(w) - len(e)
+    if e == "heden":
+        w = w[:at] + "heid" if at >= r1 else w
+    elif e in ("en", "ene"):
+        w = without_en(w, e)
+    elif e and at >= r1 and w[at - 1:at] not in _NL_V + "j":
+        w = w[:at]
+    w, removed = without_e(w)
+    if w.endswith("heid") and len(w) - 4 >= r2 and w[-5:-4] != "c":
+        w = w[:-4]
+        w = without_en(w, "en") if w.endswith("en") else w
+    e = _longest(w, ("lijk", "baar", "end", "ing", "bar", "ig"))
+    if e and len(w) - len(e) >= r2:
+        base = w[:-len(e)]
+        if e in ("end", "ing"):
+            w = base[:-2] if _longest(base, ("ig",), r2) and base[-3:-2] != "e" else single(base)
+        elif e == "ig":
+            w = base if base[-1:] != "e" else w
+        elif e == "lijk":
+            w = without_e(base)[0]
+        elif e == "baar" or removed:
+            w = base
+    if len(w) >= 4 and w[-4] not in _NL_V and w[-3:-1] in ("aa", "ee", "oo", "uu") and w[-1] not in _NL_V + "I":
+        w = w[:-2] + w[-1]
+    return w.replace("Y", "y").replace("I", "i")
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "sv": swedish, "no": norwegian, "da": danish, "ru": russian,
+            "pt": portuguese, "it": italian, "nl": dutch}
 
 
 @lru_cache(maxsize=50_000)
