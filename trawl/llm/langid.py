@@ -5,7 +5,7 @@ a fixed number of places, weighted by TF-IDF and normalised. Each language's tra
 spherical k-means into several centroids; a text gets the language of the centroid with the largest cosine, of equal
 ones that of the first by name. It is rejected if that cosine is below NEAR times the LOW quantile of the cosines that
 training texts of the language have in its band of lengths (POOLED times that of all languages, where the language has under
-FULL there; where all have under FULL, FAR times the least): short texts have lower cosines than long ones, and one odd training
+FULL there; where all have under FULL, FAR times the least of any length): short texts have lower cosines than long ones, and one odd training
 text sets no threshold for all.
 
 The model is fitted on a sample of about SAMPLE rows, dealt evenly over the LANGUAGES most frequent languages (ties by
@@ -144,7 +144,7 @@ def fit_vectors(languages: list[str], counts: np.ndarray, per_language: int = CE
         for rows, factor in ((own, NEAR), (every, POOLED)):
             if rows.sum() >= FULL:
                 return factor * float(np.quantile(cosine[rows], LOW))
-        return FAR * float(cosine[every].min()) if every.any() else 0.0
+        return FAR * float(cosine.min())
 
     least = np.zeros((len(names), len(BANDS)))
     for i, language in enumerate(names):
