@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.config import CollectionConfig, SearchOption, SearchQuery, VectorConfig, arms_of
-from trawl.functions import hashing, text
+from trawl.functions import hashing, postings, text
 from trawl.operators import documents, filters, joins, search
 from trawl.sources.layout import spread
 from trawl.streaming import changelog, metrics
@@ -171,12 +171,9 @@ def fulltext_stem(spark, sf_dir):
 
 @query()
 def wmtr(spark, sf_dir):
-    from trawl.functions import stem
-
-    docs = texts(spark, sf_dir).withColumn("plain", text.preprocessed(F.col("text")))
-    docs = docs.withColumn("stems", stem.stemmed(text.word_tokens(F.col("text")), F.col("lang")))
-    vector = text.multilevel_vector(F.col("plain"), F.col("stems"), 50.0, 128, 80, 1.0)
-    return search.postings(docs, vector, "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
+    plain = text.preprocessed(F.col("text"))
+    rows = texts(spark, sf_dir).select("doc_id", plain.alias("plain"), "lang", postings.length_boost(plain).alias("boost"))
+    return postings.made(rows, postings.multilevel(50.0, 128, 80, 1.0)).select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
 
 
 @query()
