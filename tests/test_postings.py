@@ -47,6 +47,6 @@ def explained(spark, name):
     return catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["wmtr"])
+@pytest.mark.parametrize("name", ["wmtr", "fulltext_stem"])
 def test_no_lambda_for_each_token(spark, name):
     assert "lambdafunction" not in explained(spark, name)

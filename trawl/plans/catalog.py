@@ -162,11 +162,8 @@ def df_idf_stats(spark, sf_dir):
 
 @query()
 def fulltext_stem(spark, sf_dir):
-    from trawl.functions import stem
-
-    docs = texts(spark, sf_dir)
-    stemmed = stem.stemmed(text.word_tokens(F.col("text")), F.col("lang"))
-    return search.postings(docs.withColumn("stems", stemmed), text.sparse_vector(F.col("stems"), 50.0, 128), "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
+    rows = texts(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("txt"), "lang")
+    return postings.made(rows, postings.full_text(50.0, 128)).select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
 
 
 @query()
