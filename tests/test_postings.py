@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def explained(spark, name):
     return catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["wmtr", "fulltext_stem"])
+@pytest.mark.parametrize("name", ["wmtr", "fulltext_stem", "tok_whitespace", "tok_trigrams", "df_idf_stats"])
 def test_no_lambda_for_each_token(spark, name):
     assert "lambdafunction" not in explained(spark, name)
+
+
+@pytest.mark.parametrize("name", ["batch_search", "sparse_prefiltered", "sparse_topk", "group_cap", "facets", "sparse_threshold", "default_arms"])
+def test_texts_are_tokenized_once(spark, name):
+    assert not re.search(r"ReadSchema: struct<(doc_id|p_partkey)[^>]*(text|p_name):string", explained(spark, name))

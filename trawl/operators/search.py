@@ -8,15 +8,19 @@ the order of summing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions import dense, text
+from trawl.functions import dense, postings as made, text
+from trawl.sources.layout import spread, written
 
 RRF_K = 2
 DIGITS = 6
+#: Tokens that pruning leaves of a text.
+TOP_K = 128
 #: Rows of a query side that may be broadcast to a scan: tokens, or vectors, of a batch of queries.
 QUERY_ROWS = 500_000
 
@@ -48,6 +52,17 @@ def sparse_scores(posted: DataFrame, queries: DataFrame, n_docs: int | None = No
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), DIGITS).alias("score"))
 
 
+def text_postings(docs: DataFrame, vector: Callable[..., Callable], wanted: frozenset[str] | None = None) -> DataFrame:
+    """(token, id, weight) of docs (id, txt). vector: `made.whitespace` or `made.trigrams`. wanted: the only tokens to return."""
+    return made.made(spread(docs).select("id", text.preprocessed(F.col("txt")).alias("txt")), vector(text.DEFAULT_AVGDL, TOP_K, wanted))
+
+
+def text_scores(docs: DataFrame, vector: Callable[..., Callable], queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """`sparse_scores` of docs (id, txt), whose texts are tokenized once: frequencies and scores read the postings that queries meet."""
+    wanted = frozenset(r[0] for r in queries.select("token").distinct().collect()) if queries.count() <= QUERY_ROWS else None
+    return sparse_scores(written(text_postings(docs, vector, wanted)), queries, docs.count(), allowed)
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, distance: str = "cosine", block: int = 2000) -> DataFrame:
     """(query_id, id, score) of every query of a stated batch against every vector (id, embedding).
 

@@ -128,14 +128,14 @@ def _weights_sql(tokens: str, avgdl: float, top_k: int, name: str) -> str:
 
 @query("WITH " + ws_sql("(SELECT doc_id AS id, text AS txt FROM documents)", 50.0) + " SELECT id AS doc_id, token, round(weight, 6) AS weight FROM w")
 def tok_whitespace(spark, sf_dir):
-    vector = text.sparse_vector(text.whitespace_tokens(F.col("text")), 50.0, 128)
-    return search.postings(texts(spark, sf_dir), vector, "doc_id").select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
+    posted = search.text_postings(docs_of(spark, sf_dir), postings.whitespace)
+    return posted.select(F.col("id").alias("doc_id"), "token", F.round("weight", 6).alias("weight"))
 
 
 @query("WITH " + tri_sql("(SELECT p_partkey AS id, p_name AS txt FROM part)", 50.0) + " SELECT id AS p_partkey, token, round(weight, 6) AS weight FROM w")
 def tok_trigrams(spark, sf_dir):
-    vector = text.sparse_vector(text.trigram_tokens(F.col("p_name")), 50.0, 128)
-    return search.postings(table(spark, sf_dir, "part"), vector, "p_partkey").select(F.col("id").alias("p_partkey"), "token", F.round("weight", 6).alias("weight"))
+    posted = search.text_postings(parts_of(spark, sf_dir), postings.trigrams)
+    return posted.select(F.col("id").alias("p_partkey"), "token", F.round("weight", 6).alias("weight"))
 
 
 STOP = ("the", "of", "and", "to", "in", "a", "is")
@@ -155,8 +155,8 @@ def avgdl_stats(spark, sf_dir):
 
 @query("WITH " + ws_sql("(SELECT doc_id AS id, text AS txt FROM documents)", 50.0) + " SELECT token, count(*) AS n_with, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM w GROUP BY token")
 def df_idf_stats(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    counted = search.token_statistics(search.postings(docs, text.sparse_vector(text.whitespace_tokens(F.col("text")), 50.0, 128), "doc_id"))
+    docs = docs_of(spark, sf_dir)
+    counted = search.token_statistics(search.text_postings(docs, postings.whitespace))
     return counted.select("token", "n_with", F.round(text.idf(F.lit(docs.count()), F.col("n_with")), 6).alias("idf"))
 
 
@@ -200,13 +200,11 @@ def one_query(spark: SparkSession, words: str) -> DataFrame:
 
 def ws_arm_scores(spark: SparkSession, docs: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """docs: (id, txt)."""
-    posted = search.postings(docs, text.sparse_vector(text.whitespace_tokens(F.col("txt")), text.DEFAULT_AVGDL, 128))
-    return search.sparse_scores(posted, query_vector(spark, queries, text.whitespace_tokens), docs.count(), allowed)
+    return search.text_scores(docs, postings.whitespace, query_vector(spark, queries, text.whitespace_tokens), allowed)
 
 
 def tri_arm_scores(spark: SparkSession, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    posted = search.postings(docs, text.sparse_vector(text.trigram_tokens(F.col("txt")), text.DEFAULT_AVGDL, 128))
-    return search.sparse_scores(posted, query_vector(spark, queries, text.trigram_tokens), docs.count())
+    return search.text_scores(docs, postings.trigrams, query_vector(spark, queries, text.trigram_tokens))
 
 
 def score_sql(name: str, kind, docs: str, queries: str) -> str:
@@ -231,7 +229,7 @@ PART_SQL = f"(SELECT 0 AS id, '{PART_QUERY}' AS txt)"
 
 
 def docs_of(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("txt")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("txt"))
 
 
 def parts_of(spark, sf_dir):

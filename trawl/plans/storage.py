@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.config import CollectionConfig, MetadataIndex, SearchOption, SearchQuery, VectorConfig
-from trawl.functions import language, pooling, text
+from trawl.functions import language, pooling, postings, text
 from trawl.operators import documents, search
 from trawl.plans import catalog
 from trawl.plans.catalog import PART_ARMS_SQL, QUEUE_SQL, query, queue_rows, table
@@ -195,7 +195,7 @@ def metric_retention(spark, sf_dir):
 def indexed_topk(spark, sf_dir):
     """`sparse_topk` from persisted postings: only the partitions of the query's tokens are read."""
     docs, path = catalog.docs_of(spark, sf_dir), folder(spark) + "/postings"
-    index.write(search.postings(docs, text.sparse_vector(text.whitespace_tokens(F.col("txt")), text.DEFAULT_AVGDL, 128)), path)
+    index.write(search.text_postings(docs, postings.whitespace), path)
     asked = catalog.query_vector(spark, catalog.one_query(spark, catalog.TEXT_QUERY), text.whitespace_tokens)
     scores = search.sparse_scores(index.read(spark, path, asked), asked, docs.count())
     return search.arm(scores, "content_ws", 1.0, 10).select(F.col("id").alias("doc_id"), "score", "rank")
