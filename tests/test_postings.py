@@ -54,6 +54,6 @@ def test_no_lambda_for_each_token(spark, name):
     assert "lambdafunction" not in explained(spark, name)
 
 
-@pytest.mark.parametrize("name", ["batch_search", "sparse_prefiltered", "sparse_topk", "group_cap", "facets", "sparse_threshold", "default_arms"])
+@pytest.mark.parametrize("name", ["batch_search", "sparse_prefiltered", "sparse_topk", "group_cap", "facets", "sparse_threshold", "default_arms", "group_refetch"])
 def test_texts_are_tokenized_once(spark, name):
     assert not re.search(r"ReadSchema: struct<(doc_id|p_partkey)[^>]*(text|p_name):string", explained(spark, name))

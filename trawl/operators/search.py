@@ -140,10 +140,12 @@ def refetched(scores: dict[str, tuple[DataFrame, float]], groups: DataFrame, fus
     scores: each arm's name to its (query_id, id, score) and weight. groups: (id, group_value). A round takes the best
     `prefetch` of each arm that isn't in a group that is full, adds what an arm hasn't had to its list (ranks are places in that
     list), and fuses all lists anew. A query is done once it has `limit` results, no group of it is full, or no arm had
-    `prefetch` candidates; the last round ends all. Nothing is collected: done queries just get no more candidates.
+    `prefetch` candidates; the last round ends all. Nothing is collected: done queries just get no more candidates. The scores
+    and each round's lists are written, so no round makes again what one before it made.
     """
     lists, full, done, kept = None, None, None, None
     valued = reduce(DataFrame.unionByName, [s.select("query_id", "id", "score", F.lit(name).alias("arm"), F.lit(float(w)).alias("weight")) for name, (s, w) in scores.items()]).join(groups, "id", "left")
+    valued = written(valued)  # each round reads it, and the last one's plan holds those before it
     for number in range(rounds):
         pool = valued
         if full is not None:
@@ -154,7 +156,7 @@ def refetched(scores: dict[str, tuple[DataFrame, float]], groups: DataFrame, fus
         fetched = got.groupBy("query_id", "arm").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.max("n").alias("most"))
         if lists is not None:
             got = got.join(lists.select("query_id", "arm", "id"), ["query_id", "arm", "id"], "left_anti")
-        lists = got if lists is None else lists.unionByName(got)
+        lists = written(got if lists is None else lists.unionByName(got))
         place = F.row_number().over(Window.partitionBy("query_id", "arm").orderBy("round", "at"))
         fused = fuse(lists.withColumn("rank", place).select("query_id", "id", "arm", "weight", "score", "rank"), fusion, limit=None)
         kept = grouped(fused.drop("place"), groups, group_max, limit)
